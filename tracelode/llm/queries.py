@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .lm_bloom import op9_lm_bloom
 from .mixing import op5_mixing
 from .packing import op6_packing
 from .quality_rules import op2_quality_rules
 from .simhash import op10_simhash
 from .token_store import op1_token_store
+from .warc import op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_quality_rules, op4_exact_dedup, op5_mixing, op6_packing, op10_simhash)}
+    return {f.__name__: f for f in (op1_token_store, op2_quality_rules, op4_exact_dedup, op5_mixing, op6_packing, op8_warc, op9_lm_bloom, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
