@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import ship
+
 #: Month names, and the forms in the order in which they are tried.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 _MONTH = "(?P<month>jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
@@ -102,6 +104,7 @@ def is_age(line: str) -> bool:
 
 def parse_dates(line: Column, today: str) -> Column:
     """array of struct(iso_date, minute, year_inferred, dm_ambiguous, raw). ``today`` (ISO) settles dates without a year, so reruns agree."""
+    ship()
     now = date.fromisoformat(today)
 
     @F.pandas_udf(DATE_SCHEMA)

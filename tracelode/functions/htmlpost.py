@@ -17,6 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import ship
 from .lines import GENERIC as GENERIC_TEXTS
 from .lines import JUNK_PARTS, SHORTEST_POST
 
@@ -263,6 +264,7 @@ def _extract(html: pd.Series) -> pd.DataFrame:
 
 def extract_post(html: Column) -> Column:
     """struct(text, display_name, handle, created_at_iso, extractor)."""
+    ship()
     return _extract(html)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import ship
+
 #: Fixed value: links as they are dropped for display.
 DISPLAY_LINKS = r"(?i)https?://\S+|t\.co/[A-Za-z0-9_]+|pic\.(?:twitter|x)\.com/[A-Za-z0-9_]+"
 DIFF_SCHEMA = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())]))
@@ -79,6 +81,7 @@ def _diff(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def word_diff(a: Column, b: Column) -> Column:
     """array of struct(op, text), ``op`` one of eq, del, ins; null if either text is."""
+    ship()
     return _diff(a, b)
 
 

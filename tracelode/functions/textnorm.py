@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import ship
+
 #: Link forms, invisible characters, and marks that are folded together.
 _SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 LINKS = (rf"(?i)https?://[^{_SPACE}]+|[a-z0-9-]+\.t\.co/[^{_SPACE}]*|pic\.(?:twitter|x)\.com/[^{_SPACE}]*", rf"(?i)\bt\.co/[^{_SPACE}]+")
@@ -30,6 +32,7 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition. ASCII texts are their own, so only others cross over to Python."""
+    ship()
     plain = text.rlike(r"^[\x00-\x7F]*$")
     return F.coalesce(_nfkc(F.when(~plain, text)), text)
 

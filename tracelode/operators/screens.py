@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import dates, handles
 from ..functions import lines as text_lines
+from ..scratch import ship
 
 #: Fixed value: how a handle looks when recognised; the sign before it may be misread.
 MENTION = re.compile(r"[@©Q€]\s?([A-Za-z0-9_]{1,15})")
@@ -37,6 +38,7 @@ def _mentions(text: pd.Series) -> pd.Series:
 
 
 def mentions(text: Column) -> Column:
+    ship()
     return _mentions(text)
 
 

@@ -1,10 +1,13 @@
-"""Tables that a plan reads more than once, written to the folder that driver and executors share."""
+"""What plans share with executors: tables read more than once, and this package itself."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,20 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Send this package to the executors' Python, once for each application. Without a session: to the active one's, if there is one."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    key = f"ship:{spark.sparkContext.applicationId}"
+    if key in _own_dir:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="tracelode-ship-"), f"{root.name}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(target)
+    _own_dir[key] = target
