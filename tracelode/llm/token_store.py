@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -271,17 +272,26 @@ def _read_chunks(width: int):
     return run
 
 
-@F.pandas_udf(T.StructType().add("ids_crc32", T.LongType()).add("n", T.LongType()).add("root", T.BinaryType()))
-def _joined(chunks: pd.Series) -> pd.DataFrame:
-    """Chunks of a document, as structs (place, crc, n, digest): CRC-32 of its ids as 32-bit integers, their count, the Merkle root."""
-    rows = [sorted(((c["place"], c["crc"], c["n"], bytes(c["digest"])) for c in x if c["place"] is not None)) for x in chunks]
-    crc, n = np.zeros(len(rows), dtype=np.uint32), np.zeros(len(rows), dtype=np.int64)
-    for k in range(max(map(len, rows), default=0)):
-        on = np.array([i for i, r in enumerate(rows) if len(r) > k])
-        tokens = np.array([rows[i][k][2] for i in on], dtype=np.int64)
-        crc[on] = crc_join(crc[on], np.array([rows[i][k][1] for i in on], dtype=np.uint32), tokens * 4)
-        n[on] += tokens
-    return pd.DataFrame({"ids_crc32": crc.astype(np.int64), "n": n, "root": [merkle_root([r[3] for r in x]) for x in rows]})
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the chunks of a document in order (place, crc, n, digest): its CRC-32 over 32-bit ids, checked against count and Merkle root."""
+    for batch in batches:
+        chunks = batch.column("chunks")
+        offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        flat = chunks.flatten()
+        chunk_crc, chunk_n = (pc.fill_null(flat.field(c), 0).to_numpy(zero_copy_only=False).astype(t) for c, t in (("crc", np.uint32), ("n", np.int64)))
+        shift, digests = crc_shift(chunk_n * 4), flat.field("digest").to_pylist()
+        sizes = np.diff(offsets)
+        crc, total = np.zeros(len(sizes), dtype=np.uint32), np.zeros(len(sizes), dtype=np.int64)
+        for k in range(int(sizes.max(initial=0))):
+            on = np.flatnonzero(sizes > k)
+            at = offsets[on] + k
+            crc[on] = _times(shift[at], crc[on]) ^ chunk_crc[at]
+            total[on] += chunk_n[at]
+        roots = [merkle_root([d for d in digests[a:b] if d is not None]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        bad = [i for i, (x, n) in enumerate(zip(batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist())) if x != roots[i] or n != total[i]]
+        if bad:
+            raise ValueError(f"the store doesn't rebuild document {batch.column('doc_id')[bad[0]]}")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(store: Store) -> DataFrame:
@@ -295,11 +305,8 @@ def read_digests(store: Store) -> DataFrame:
     chunks = store.chunks().mapInArrow(_read_chunks(store.width), "digest binary, crc long, n long")
     recipes = store.recipes()
     refs = recipes.select("part", "local_start", "doc_id", "start", "n_tokens", "root", F.posexplode_outer("digests").alias("place", "digest"))
-    whole = refs.join(chunks, "digest", "left").groupBy("part", "local_start", "doc_id", "start", "n_tokens", "root").agg(F.collect_list(F.struct("place", "crc", "n", "digest")).alias("chunks"))
-    out = whole.withColumn("got", _joined("chunks"))
-    fine = (F.col("got.n") == F.col("n_tokens")) & (F.col("got.root") == F.col("root"))
-    bad = F.raise_error(F.concat(F.lit("the store doesn't rebuild document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("long")
-    return out.select("doc_id", "start", "n_tokens", F.when(fine, F.col("got.ids_crc32")).otherwise(bad).alias("ids_crc32"))
+    found = refs.join(chunks, "digest", "left").groupBy("part", "local_start", "doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("place", "crc", "n", "digest"))).alias("chunks"))
+    return found.mapInArrow(_joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _concatenate(width: int):
