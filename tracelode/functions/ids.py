@@ -15,7 +15,8 @@ def id_to_ms(post_id: Column) -> Column:
     """Creation time of a decimal id in epoch ms; null for what isn't digits. Ids beyond 64 bits go through decimals."""
     digits = F.nullif(F.regexp_extract(post_id.cast("string"), r"^\s*([0-9]{1,38})\s*$", 1), F.lit(""))
     narrow = F.shiftright(digits.try_cast("bigint"), CLOCK_BITS)
-    wide = F.floor(digits.try_cast("decimal(38,0)") / F.lit(1 << CLOCK_BITS).cast("decimal(10,0)")).try_cast("bigint")
+    number, unit = digits.try_cast("decimal(38,0)"), F.lit(1 << CLOCK_BITS).cast("decimal(10,0)")
+    wide = F.floor((number - number % unit) / unit).try_cast("bigint")
     return F.coalesce(narrow, wide) + F.lit(CLOCK_START_MS)
 
 

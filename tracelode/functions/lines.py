@@ -37,7 +37,7 @@ def is_chrome_line(line: Column) -> Column:
 
 def body_lines(lines: Column) -> Column:
     """Lines trimmed, without blank ones and chrome."""
-    return F.filter(F.transform(lines, F.trim), lambda t: (t != "") & ~is_chrome_line(t))
+    return F.filter(F.transform(lines, lambda t: F.trim(t)), lambda t: (t != "") & ~is_chrome_line(t))
 
 
 def join_body(parts: Column) -> Column:

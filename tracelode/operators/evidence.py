@@ -93,7 +93,9 @@ def cross_checked(verdicts: DataFrame, live: DataFrame, compatibility: bool = Tr
     An archived match that the live post shares is verified by both; a claim without one whose account and text the
     live post confirms is decided anew on it. Evidence never takes a match away. No live row: nothing is added.
     """
-    posts = live.select(F.col("post_id").alias("__id"), F.struct("status", F.col("text").alias("live_text"), "screen_name").alias("__live"))
+    # One record a post: a live one if there is any.
+    record = F.struct("status", F.col("text").alias("live_text"), "screen_name")
+    posts = live.groupBy(F.col("post_id").alias("__id")).agg(F.max_by(record, F.struct(F.col("status") == "live", "text", "screen_name")).alias("__live"))
     rows = verdicts.join(posts, F.col("capture.post_id") == F.col("__id"), "left").drop("__id")
     is_live = F.col("__live.status").eqNullSafe("live") & similarity.is_readable(F.col("__live.live_text"))
     rows = rows.withColumn("__t", similarity.text_similarity(F.col("text"), F.when(is_live, F.col("__live.live_text")), compatibility))

@@ -61,7 +61,8 @@ def retry_after_ms(header: Column, now_ms: Column) -> Column:
     """Seconds or an HTTP date as milliseconds from now, at least 0; null if it is neither."""
     seconds = F.trim(header).try_cast("double")
     date = F.unix_millis(F.try_to_timestamp(F.regexp_extract(header, r"^\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss")))
-    return F.greatest(F.lit(0).cast("long"), F.coalesce((seconds * 1000).cast("long"), date - now_ms))
+    wait = F.coalesce((seconds * 1000).cast("long"), date - now_ms)
+    return F.when(wait < 0, 0).otherwise(wait)
 
 
 def wait_ms(retry_after: str | None, attempt: int) -> int:
