@@ -16,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch to Python. Texts make batches large in bytes, and both sides hold whole batches.
+ARROW_ROWS = 2000
+
 #: A side is broadcast only when it is known to have at most so many bytes (or rows of a known width).
 BROADCAST_BYTES = 64 << 20
 
@@ -69,7 +72,8 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None, path: str | Non
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once for each application."""
+    """Send this package to the executors' Python, once for each application, and keep Arrow batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     key = f"ship:{sc.applicationId}"
     if key in _own_dir:
@@ -108,7 +112,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sub_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that what a worker holds doesn't follow Arrow's row count. A longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
