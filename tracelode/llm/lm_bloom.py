@@ -146,8 +146,18 @@ def levels(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts.astype(np.float64)) / math.log(base) + 1e-9).astype(np.int64)
 
 
+def level_counts(base: float, most: int = 256) -> np.ndarray:
+    """The count that each level stands for: the middle of the whole numbers from base**(q-1) to below base**q; 0 for level 0."""
+    edge = np.ceil(base ** np.minimum(np.arange(most), 1000 / base) - 1e-9)
+    return np.concatenate([[0.0], (edge[:-1] + np.maximum(edge[1:] - 1, edge[:-1])) / 2])
+
+
+def _event(keys: np.ndarray, level: int) -> np.ndarray:
+    return mix(keys + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
+
+
 def _places(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    h = mix(keys + np.uint64(level) * np.uint64(0xD1B54A32D192ED03))
+    h = _event(keys, level)
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | _ONE
     for _ in range(PROBES):
         yield (a * bits >> np.uint64(32)).astype(np.int64)
@@ -256,7 +266,7 @@ class Slice:
         while len(left):
             bits, first, key = self.bits[shard[left]], self.first[shard[left]], keys[left]
             alive = np.arange(len(left))
-            h = mix(key + np.uint64(level) * np.uint64(0xD1B54A32D192ED03))
+            h = _event(key, level)
             a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | _ONE
             for _ in range(PROBES):
                 at = (a * bits >> np.uint64(32)).astype(np.int64) + first
@@ -273,10 +283,8 @@ def scores(count: np.ndarray, quantised: np.ndarray, offsets: np.ndarray, n: int
     one = (count + 0.5) / (n + 0.5 * (v + 1))
     context = np.concatenate([[starts], count[:-1]]).astype(np.float64) if len(count) else count.astype(np.float64)
     context[offsets[:-1]] = starts
-    # A level stands for counts from base**(q-1) to below base**q; their geometric middle, and never over c(h) or c(w).
-    q = quantised.astype(np.float64)
-    pair = np.where(q > 0, np.maximum(1.0, np.floor(base ** (q - 0.5))), 0.0)
-    pair = np.minimum(pair, np.minimum(context, count))
+    # Never more than c(h) or c(w), which are exact.
+    pair = np.minimum(level_counts(base)[quantised], np.minimum(context, count))
     both = (pair + mass * one) / (context + mass)
     add = lambda x: np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
     return np.diff(offsets), add((count > 0).astype(np.int64)), add(np.log10(one)), add(np.log10(both))

@@ -128,9 +128,9 @@ def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", s
         return df.groupBy(*by).agg(F.sum(f"__tl_n{level - 1}").alias(f"__tl_n{level}"), *(F.expr(f"kll_merge_agg_double(__tl_s{level - 1}_{r})").alias(f"__tl_s{level}_{r}") for r in ratios))
 
     langs = merged(groups, 1, [F.col("__tl_lang").alias("__tl_of")])
-    whole = merged(langs.withColumn("__tl_all", F.lit(1)), 2, ["__tl_all"])
-    langs = langs.withColumn("__tl_all", F.lit(1)).join(whole, "__tl_all").drop("__tl_all")
+    whole = merged(langs, 2, []).first()  # one row: a sketch of each ratio
     both = groups.join(langs, F.col("__tl_lang").eqNullSafe(F.col("__tl_of"))).drop("__tl_of")
+    both = both.withColumns({f"__tl_s2_{r}": F.lit(bytes(whole[f"__tl_s2_{r}"] or b"")) for r in ratios})
     out = []
     for r, (side, outer, floor) in RULES.items():
         sketch = F.when(F.col("__tl_n0") >= least, F.col(f"__tl_s0_{r}")).when(F.col("__tl_n1") >= least, F.col(f"__tl_s1_{r}")).otherwise(F.col(f"__tl_s2_{r}"))
