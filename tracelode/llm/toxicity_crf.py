@@ -12,7 +12,8 @@ two states the messages are ratios, one number a token, so many texts advance to
 Document score. A logistic curve over the greatest marginal, the expected number of toxic tokens and their share, fitted
 on the labelled documents. Spans are runs of tokens with a marginal of 0.5 or more, as offsets in code points.
 
-At most ``most`` labelled rows are used (those of the lowest hash), and ``windows`` windows of them.
+At most ``most`` labelled rows are used (those of the lowest hash), and ``windows`` windows of them. Their traits are
+counted on the executors; the driver gets counts, and a 16-bit number for each token of those rows.
 
 Defined results. Null or empty text: no tokens, scored as such, no spans. Null doc_id: belongs to the fold of the empty
 text's crc32; it has no label. Null label: not used. Repeated rows: each is scored. No toxic labels: nothing is tagged and all
@@ -89,7 +90,7 @@ def forward_backward(potential: np.ndarray, moves: np.ndarray, lengths: np.ndarr
     return out
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, evidence: np.ndarray, kinds: int, rounds: int = 200, ridge: float = 1e-3) -> tuple[float, float, np.ndarray, np.ndarray]:
+def fit_field(x: np.ndarray, y: np.ndarray, evidence: np.ndarray, kinds: int, rounds: int = 150, ridge: float = 1e-3) -> tuple[float, float, np.ndarray, np.ndarray]:
     """Bias, weight of the evidence, weights of traits and moves from windows (texts by tokens) of trait numbers ``x`` (0: none) and labels ``y``."""
     theta = np.zeros(2 + kinds + 4)
     theta[0], theta[1] = -4.0, 1.0
@@ -150,52 +151,30 @@ def evidence(in_bad: np.ndarray, in_good: np.ndarray, bad: int, good: int) -> np
     return np.sqrt(np.maximum(g, 0.0)) * np.sign(in_bad - expected_bad)
 
 
-def _best(per: list[list[int]], value: dict[int, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word the known trait with the greatest value, and that value (0 and 0 without one)."""
-    found = [max(((value[t], t) for t in x if t in value), default=(0.0, 0)) for x in per]
-    return np.array([t for _, t in found], dtype=np.uint64), np.array([v for v, _ in found])
-
-
-def train(docs: list[list[bytes]], y: np.ndarray, sure: float = 6.5, kinds: int = 5000, windows: int = 20_000, seed: int = 7) -> Field:
-    """A field from the tokens of labelled documents."""
+def train(docs: list[np.ndarray], y: np.ndarray, value: dict[int, float], sure: float = 6.5, windows: int = 10_000, seed: int = 7) -> Field:
+    """A field from labelled documents, each given by the numbers of its tokens' best traits: k for the k-th of ``value`` (trait: evidence), 0 for none."""
     model = Field()
     bad, good = int((y == 1).sum()), int((y == 0).sum())
     if not bad or not good:
         model.curve[0] = 0.0 if not len(y) else (5.0 if bad else -5.0)
         return model
-    number: dict[bytes, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in d], dtype=np.int64) for d in docs]
-    per = [traits(w) for w in number]
-    names, at = np.unique(np.fromiter((t for x in per for t in x), dtype=np.uint64), return_inverse=True)
-    edge = np.concatenate([[0], np.cumsum([len(x) for x in per])])
-    counts = np.zeros((2, len(names)))
-    for d, label in zip(coded, y):  # documents that have a trait, each once
-        words = np.unique(d)
-        if len(words):
-            counts[label, np.unique(np.concatenate([at[edge[w] : edge[w + 1]] for w in words.tolist()]))] += 1
-    root = evidence(counts[1], counts[0], bad, good)
-    order = np.argsort(-root, kind="stable")[:kinds]
-    value = {int(names[i]): float(root[i]) for i in order if root[i] > 0}
-    trait, strength = _best(per, value)
-    lexicon = strength >= sure
-    ranked = {t: k + 1 for k, t in enumerate(value)}
-    index = np.array([ranked.get(int(t), 0) for t in trait])
-    sign = np.concatenate([[0.0], np.array(list(value.values())) / 4])
+    strength = np.array([0.0, *value.values()])
     x, tags = [], []
-    for d, label in zip(coded, y):
-        for k in range(0, len(d) - WIDTH + 1, WIDTH):
-            x.append(index[d[k : k + WIDTH]])
-            tags.append((lexicon[d[k : k + WIDTH]] & (label == 1)).astype(np.int64))
-    if x:
+    for d, label in zip(docs, y):
+        n = len(d) // WIDTH
+        x.append(d[: n * WIDTH].reshape(n, WIDTH))
+        tags.append((strength[x[-1]] >= sure) & (label == 1))
+    x, tags = np.concatenate(x), np.concatenate(tags)
+    potential = np.full(len(strength), model.other)
+    if len(x):
         # Windows with a toxic token come first, then others at random.
         rng = np.random.default_rng(seed)
-        hot = np.array([w.any() for w in tags])
+        hot = tags.any(axis=1)
         pick = np.concatenate([rng.permutation(np.flatnonzero(hot)), rng.permutation(np.flatnonzero(~hot))])[:windows]
-        bias, weight, own, moves = fit_field(np.array(x)[pick], np.array(tags)[pick], sign, len(sign))
-        model.traits = {t: float(bias + weight * sign[k] + own[k]) for t, k in ranked.items()}
-        model.other, model.moves = bias, moves
-    potential = np.array([max((model.traits[t] for t in p if t in model.traits), default=model.other) for p in per])
-    model.curve = fit_curve(summary(marginals([potential[d] for d in coded], model.moves)), y)
+        bias, weight, own, model.moves = fit_field(x[pick].astype(np.int64), tags[pick].astype(np.int64), strength / 4, len(strength))
+        potential = bias + weight * strength / 4 + own
+        model.traits, model.other = dict(zip(value, potential[1:].tolist())), bias
+    model.curve = fit_curve(summary(marginals([potential[d] for d in docs], model.moves)), y)
     return model
 
 
@@ -239,10 +218,67 @@ def spans(text: bytes, p: np.ndarray) -> list[tuple[int, int]]:
     return [(len(text[:a].decode("utf-8", "replace")), len(text[:b].decode("utf-8", "replace"))) for a, b in out]
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.sub_batches(batches):
-        found = [x.lower().split() for x in common.texts(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.binary()))], names=["y", "tokens"])
+def _trait_counts(known: np.ndarray | None):
+    """In how many documents of a task each trait stands; of ``known`` ones only, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, np.ndarray] = {}
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in common.sub_batches(batches):
+            found = []
+            for text in common.texts(batch.column("text")):
+                words = set(text.lower().split())
+                for w in words.difference(seen):
+                    t = np.array(traits(w), dtype=np.uint64)
+                    seen[w] = t if known is None else t[known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t]
+                if words:
+                    found.append(np.unique(np.concatenate([seen[w] for w in words])))
+            if len(seen) > 200_000:
+                seen.clear()
+            if found:
+                k, at = np.unique(np.concatenate([keys, *found]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, *(np.ones(len(f)) for f in found)]), minlength=len(k)).astype(np.int64)
+                keys = k
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["trait", "n"])
+
+    return run
+
+
+def _trait_numbers(value: dict[int, float]):
+    """Of each document the numbers of its tokens' best traits."""
+    number = {t: k + 1 for k, t in enumerate(value)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+        for batch in common.sub_batches(batches):
+            out = []
+            for text in common.texts(batch.column("text")):
+                words = text.lower().split()
+                for w in set(words).difference(seen):
+                    seen[w] = number[max((t for t in traits(w) if t in value), key=value.__getitem__)] if any(t in value for t in traits(w)) else 0
+                out.append(np.fromiter(map(seen.__getitem__, words), dtype=np.int16, count=len(words)))
+            if len(seen) > 400_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.list_(pa.int16()))], names=["y", "numbers"])
+
+    return run
+
+
+def toxic_traits(sample: DataFrame, kinds: int = 5000) -> dict[int, float]:
+    """The traits of greatest evidence in ``sample`` (text, y). They are counted on the executors: first in toxic documents, then, those in three or more, in clean ones."""
+    count = lambda label, known: sample.where(F.col("y") == label).select("text").mapInArrow(_trait_counts(known), "trait long, n long").groupBy("trait").agg(F.sum("n").alias("n"))
+    totals = dict(sample.groupBy("y").count().collect())
+    bad = count(1, None).where("n >= 3").toArrow()
+    names = bad.column("trait").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    names, in_bad = names[order], bad.column("n").to_numpy()[order].astype(np.float64)
+    in_good = np.zeros(len(names))
+    if len(names):
+        good = count(0, names).toArrow()
+        in_good[np.searchsorted(names, good.column("trait").to_numpy().view(np.uint64))] = good.column("n").to_numpy()
+    root = evidence(in_bad, in_good, totals.get(1, 0), totals.get(0, 0))
+    best = np.argsort(-root, kind="stable")[:kinds]
+    return {int(names[i]): float(root[i]) for i in best if root[i] > 0}
 
 
 _OUT = "doc_id long, held_out boolean, score double, spans array<struct<start:long,end:long>>"
@@ -267,13 +303,16 @@ def _score(model: Field, memory: int = 400_000):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8_000, windows: int = 20_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, windows: int = 10_000) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted (score >= 0.5), spans (start, end)."""
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = rows.join(labelled(labels, label, most), "doc_id").select("y", "text").mapInArrow(_tokens, "y int, tokens array<binary>").toArrow()
-    y = sample.column("y").to_numpy()
-    model = train(sample.column("tokens").to_pylist(), y, windows=windows)
+    sample = common.stage(rows.join(labelled(labels, label, most), "doc_id").select("y", "text"), "toxicity-sample")
+    value = toxic_traits(sample)
+    coded = sample.mapInArrow(_trait_numbers(value), "y int, numbers array<short>").toArrow()
+    numbers = coded.column("numbers").combine_chunks()
+    flat, at = numbers.flatten().to_numpy(), numbers.offsets.to_numpy() - numbers.offsets[0].as_py() if len(numbers) else np.zeros(1, np.int64)
+    model = train([flat[a:b] for a, b in zip(at[:-1], at[1:])], coded.column("y").to_numpy(), value, windows=windows)
     held = rows.withColumn("held_out", common.fold_of(F.col("doc_id")) == 0)
     scored = held.mapInArrow(_score(model), _OUT)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
