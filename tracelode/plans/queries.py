@@ -459,16 +459,38 @@ def _flow(spark, sf_dir, live: bool):
     return check(*args, live=A.live_posts(spark, sf_dir) if live else None)
 
 
-@query()
+_READY = A.WINDOWS_SQL.replace("windows AS", "all_windows AS") + ",\nwindows AS (SELECT * FROM all_windows WHERE platform = 'x' AND from_ms IS NOT NULL)"
+_FOUND_ROWS = """found AS (SELECT claim_id, iso, minute, post_id, id_ms, snapshot_ts, url, event_id, seq, CAST(NULL AS VARCHAR) AS variant FROM searched
+  UNION ALL SELECT r.claim_id, w.iso, w.minute, r.post_id, (r.post_id >> 22) + 1288834974657, r.snapshot_ts, r.url, r.event_id, row_number() OVER (PARTITION BY r.claim_id ORDER BY r.post_id), r.variant FROM repaired r JOIN windows w USING (claim_id))"""
+_SAID = "'Account ' || e.account || ' reported a ' || e.event_type || ' as number ' || e.event_id || ' of the evening service'"
+_GATED = "CASE WHEN coalesce(time_ok = false, false) AND {f} > 0.74 THEN 0.74 ELSE {f} END"
+_SCORED_SQL = f"""shown AS (SELECT r.*, c.text AS a, {_SAID} AS b, r.event_id % 5 <> 0 AS readable, e.account AS author, r.event_id % 4 <> 3 AS alive, lower(c.handle) AS claimed_handle FROM ranked r JOIN claims c USING (claim_id) JOIN base e ON e.event_id = r.event_id),
+forms AS (SELECT *, {_plain_sql('a')} AS pa, {_plain_sql('b')} AS pb, {_folded_sql('a')} AS fa, {_folded_sql('b')} AS fb FROM shown)"""
+_OUTSIDE = "CASE WHEN NOT (variant IS NULL AND coalesce(date_ok, false)) AND score > 0.6 THEN 0.6 ELSE score END"
+_ALONE = "CASE WHEN NOT coalesce(date_ok, false) AND score > 0.6 THEN 0.6 ELSE score END"
+_VERDICT_SQL = f"""gated AS (SELECT *, CASE WHEN readable THEN {_GATED.format(f=f"({_OUTSIDE})")} ELSE 0.0 END AS final, CASE WHEN readable THEN score ELSE 0.0 END AS text_sim, {_GATED.format(f=f"({_ALONE})")} AS live_final FROM sims),
+placed AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY final DESC, position) AS rn, count(*) OVER (PARTITION BY claim_id) AS n FROM gated),
+verdicts AS (SELECT w.claim_id, CASE WHEN w.platform <> 'x' THEN 'UNSUPPORTED_PLATFORM' WHEN w.from_ms IS NULL THEN 'INSUFFICIENT_INPUT' WHEN p.claim_id IS NULL THEN 'NO_MATCH' WHEN p.final >= 0.9 THEN 'MATCH_STRONG' WHEN p.final >= 0.75 THEN 'MATCH_LIKELY' WHEN p.final >= 0.55 THEN 'MATCH_PARTIAL'
+    WHEN coalesce(p.time_ok, false) AND NOT p.readable THEN 'POST_EXISTS_TEXT_UNREADABLE' ELSE 'NO_MATCH' END AS code, p.final, p.text_sim, CASE WHEN w.platform = 'x' AND w.from_ms IS NOT NULL THEN p.claim_id IS NOT NULL AND p.variant IS NULL END AS handle_ok, p.date_ok, p.time_ok, p.variant AS repaired_handle, p.post_id, p.snapshot_ts,
+    CASE WHEN p.n IS NOT NULL THEN least(p.n - 1, 3) END AS n_alternates, p.alive, p.author = p.claimed_handle AS same_author, p.score AS sim, p.live_final FROM all_windows w LEFT JOIN (SELECT * FROM placed WHERE rn = 1) p USING (claim_id))"""
+_FLOW_SQL = A.with_sql(A.CAPTURES_SQL, A.CLAIMS_SQL, _READY, A.MATCHES_SQL, A.SEARCH_SQL, _REPAIR, _FOUND_ROWS, A.RANKED_SQL.replace("FROM searched", "FROM found"), _SCORED_SQL, _SIM_SQL, _VERDICT_SQL)
+
+
+@query(_FLOW_SQL + "SELECT claim_id, code, round(final, 9) AS score, round(text_sim, 9) AS text_sim, handle_ok, date_ok, time_ok, repaired_handle, post_id, snapshot_ts, n_alternates FROM verdicts")
 def check_verdicts(spark, sf_dir):
-    """The whole check, from claims to verdicts, with the alternates."""
-    return _flow(spark, sf_dir, False).select("claim_id", "code", F.round("score", 9).alias("score"), F.round("text_sim", 9).alias("text_sim"), "handle_ok", "date_ok", "time_ok", "repaired_handle", "capture.post_id", "capture.snapshot_ts", F.to_json("alternates").alias("alternates"))
+    """The whole check, from claims to verdicts."""
+    return _flow(spark, sf_dir, False).select("claim_id", "code", _round(F.col("score"), "score"), _round(F.col("text_sim"), "text_sim"), "handle_ok", "date_ok", "time_ok", "repaired_handle", "capture.post_id", "capture.snapshot_ts", F.when(F.col("alternates").isNotNull(), F.size("alternates")).cast("long").alias("n_alternates"))
 
 
-@query()
+_LIVE_SQL = """SELECT claim_id, CASE WHEN how = 'x-live' THEN CASE WHEN live_final >= 0.9 THEN 'MATCH_STRONG' WHEN live_final >= 0.75 THEN 'MATCH_LIKELY' WHEN live_final >= 0.55 THEN 'MATCH_PARTIAL' ELSE 'NO_MATCH' END ELSE code END AS code, round(CASE WHEN how = 'x-live' THEN live_final ELSE final END, 9) AS score, post_id,
+  CASE WHEN post_id IS NOT NULL THEN CASE WHEN alive THEN 'live' ELSE 'unavailable' END END AS status, CASE WHEN alive THEN same_author END AS author_match, CASE WHEN post_id IS NOT NULL THEN how IS NOT NULL END AS verified, how AS verified_by, round(CASE WHEN alive THEN sim END, 9) AS live_text_sim
+FROM (SELECT *, CASE WHEN alive AND same_author AND sim >= 0.75 THEN CASE WHEN code IN ('MATCH_STRONG', 'MATCH_LIKELY') THEN 'archive+x' WHEN handle_ok THEN 'x-live' END END AS how FROM verdicts)"""
+
+
+@query(_FLOW_SQL + _LIVE_SQL)
 def crosscheck(spark, sf_dir):
     """The whole check, held against the live posts."""
-    return _flow(spark, sf_dir, True).select("claim_id", "code", F.round("score", 9).alias("score"), "capture.post_id", "cross_check.status", "cross_check.author_match", "cross_check.verified", "cross_check.verified_by", F.round("cross_check.live_text_sim", 9).alias("live_text_sim"))
+    return _flow(spark, sf_dir, True).select("claim_id", "code", _round(F.col("score"), "score"), "capture.post_id", "cross_check.status", "cross_check.author_match", "cross_check.verified", "cross_check.verified_by", _round(F.col("cross_check.live_text_sim"), "live_text_sim"))
 
 
 @query(
