@@ -67,9 +67,18 @@ def numbers_differ(a: Column, b: Column) -> Column:
     return (F.size(na) > 0) & (F.size(nb) > 0) & (na != nb)
 
 
+def normal_forms(text: Column, compatibility: bool = True) -> Column:
+    """struct(plain, folded): what of a text is compared. Worth computing once for a text that is compared often."""
+    return F.struct(normalize_text(text, compatibility).alias("plain"), normalize_folded(text, compatibility).alias("folded"))
+
+
+def paired(a: Column, b: Column) -> Column:
+    """struct(pa, pb, fa, fb) of the normal forms of two texts."""
+    return F.struct(a["plain"].alias("pa"), b["plain"].alias("pb"), a["folded"].alias("fa"), b["folded"].alias("fb"))
+
+
 def similarity_parts(a: Column, b: Column, compatibility: bool = True) -> Column:
-    """struct of the normal forms of two texts: plain (pa, pb) and folded (fa, fb)."""
-    return F.struct(*(f(x, compatibility).alias(n) for n, f, x in (("pa", normalize_text, a), ("pb", normalize_text, b), ("fa", normalize_folded, a), ("fb", normalize_folded, b))))
+    return paired(normal_forms(a, compatibility), normal_forms(b, compatibility))
 
 
 def raw_similarity(p: Column) -> Column:
@@ -89,9 +98,13 @@ def _capped(p: Column, raw: Column) -> Column:
     return F.struct(raw.alias("raw"), F.when(by_length, SHORT_CAP).otherwise(first).alias("score"), F.nullif(why, F.lit("")).alias("capped_by"), differ.alias("number_mismatch"))
 
 
+def compare(p: Column) -> Column:
+    """struct(raw, score, capped_by, number_mismatch) of paired normal forms: changed numbers cap the score, and so does a short text."""
+    return let(p, lambda q: let(raw_similarity(q), lambda raw: _capped(q, raw)))
+
+
 def text_similarity(a: Column, b: Column, compatibility: bool = True) -> Column:
-    """struct(raw, score, capped_by, number_mismatch): changed numbers cap the score, and so does a short text."""
-    return let(similarity_parts(a, b, compatibility), lambda p: let(raw_similarity(p), lambda raw: _capped(p, raw)))
+    return compare(similarity_parts(a, b, compatibility))
 
 
 def gated_score(text: Column, handle_ok: Column, date_ok: Column, time_ok: Column, readable: Column) -> Column:

@@ -32,13 +32,16 @@ def page_texts(pages: DataFrame, needed: DataFrame) -> DataFrame:
 
 def scored(ranked: DataFrame, claims: DataFrame, texts: DataFrame, compatibility: bool = True) -> DataFrame:
     """Ranked candidates with post, score, text_sim, capped_by. A page that can't be had (post null) was compared but has no score."""
-    joined = ranked.join(texts, ["snapshot_ts", "url"], "left").join(claims.select("claim_id", F.col("text").alias("claimed")), "claim_id")
-    handle_ok = F.col("repaired_handle").isNull()
     readable = similarity.is_readable(F.col("post.text"))
-    out = joined.withColumn("__t", similarity.text_similarity(F.col("claimed"), F.when(readable, F.col("post.text")), compatibility))
+    # A claim meets several pages and a page several claims: normal forms are made before they meet.
+    found = texts.withColumn("__b", similarity.normal_forms(F.when(readable, F.col("post.text")), compatibility))
+    asked = claims.select("claim_id", similarity.normal_forms(F.col("text"), compatibility).alias("__a"))
+    joined = ranked.join(found, ["snapshot_ts", "url"], "left").join(asked, "claim_id")
+    handle_ok = F.col("repaired_handle").isNull()
+    out = joined.withColumn("__t", similarity.compare(similarity.paired(F.col("__a"), F.col("__b"))))
     out = out.withColumn("__s", similarity.gated_score(F.col("__t"), handle_ok, F.col("date_ok"), F.col("time_ok"), readable))
     have = F.col("post").isNotNull()
-    return out.withColumns({c: F.when(have, F.col(f"__s.{c}")) for c in ("score", "text_sim", "capped_by")}).drop("__t", "__s", "claimed")
+    return out.withColumns({c: F.when(have, F.col(f"__s.{c}")) for c in ("score", "text_sim", "capped_by")}).drop("__t", "__s", "__a", "__b")
 
 
 def best_and_others(candidates: DataFrame, others: int = ALTERNATES) -> DataFrame:
