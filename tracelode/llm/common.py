@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,75 +10,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+from ..scratch import scratch_path, stage  # noqa: F401  operators take them from here
+
 #: Rows of an Arrow batch to Python. Texts make batches large in bytes, and both sides hold whole batches.
 ARROW_ROWS = 2000
 
 #: A side is broadcast only when it is known to have at most so many bytes (or rows of a known width).
 BROADCAST_BYTES = 64 << 20
 
-_own_dir: dict[str, str] = {}
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = tempfile.mkdtemp(prefix="tracelode-")
-        spark.sparkContext.setCheckpointDir(f"file://{_own_dir[app]}")
-    return f"file://{_own_dir[app]}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tracelode/{name}-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(_remove_staged)
-    _staged.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path through Hadoop's file system, whatever store it is in."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
-
-
-def _remove_staged() -> None:
-    for spark, path in _staged:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the JVM may be gone before the driver's Python; the files are scratch
-            return
-
-
-def stage(df: DataFrame, name: str, by: list[str] | None = None, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives the loss of any executor."""
-    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each application, and keep Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    sc = spark.sparkContext
-    key = f"ship:{sc.applicationId}"
-    if key in _own_dir:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="tracelode-ship-"), f"{root.name}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(target)
-    _own_dir[key] = target
+    scratch.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
