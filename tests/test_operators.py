@@ -145,7 +145,7 @@ def test_screens(spark):
     assert screens.read_screens(lines_of(spark, {"a": ["x"]}).where("false"), "2025-06-15").count() == 0
 
 
-def test_receipts(spark, tmp_path):
+def test_attestations(spark, tmp_path):
     c = capture("nasa", NOON)
     request = ("x", "nasa", "2023-05-01", None, CITY, True, c[2], c[3])
     schema = "platform string, handle string, claimed_date_iso string, claimed_minute int, claimed_text string, fields_edited boolean, snapshot_ts string, original_url string"
@@ -155,10 +155,10 @@ def test_receipts(spark, tmp_path):
     issued = store.issue(requests, evidence.page_texts(pages, pages.select("snapshot_ts", "url")), now_ms=5)
     rows = issued.collect()
     assert len(rows) == 1 and (rows[0].verdict_code, rows[0].score, rows[0].archive_snippet, rows[0].fields_edited, rows[0].created_at) == ("MATCH_STRONG", 1.0, CITY[:140], 1, 5)
-    path = str(tmp_path / "receipts")
+    path = str(tmp_path / "attestations")
     store.save(issued, path)
     store.save(issued, path)
-    kept = spark.read.schema(store.RECEIPT_DDL).parquet(path)
+    kept = spark.read.schema(store.ATTESTATION_DDL).parquet(path)
     assert kept.count() == 1 and store.lookup(kept, rows[0].id).first().handle == "nasa" and store.lookup(kept, "AbC123XyZ9").count() == 0
     with pytest.raises(ValueError):
         store.lookup(kept, "short")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Requests and seconds for each kind.
-LIMITS = {"search": (30, 600), "snapshot": (60, 600), "syndication": (60, 600), "receipt": (5, 3600)}
+LIMITS = {"search": (30, 600), "snapshot": (60, 600), "syndication": (60, 600), "issue": (5, 3600)}
 
 
 def rate_limited(events: DataFrame, window_seconds: int, limit: int, keys: tuple[str, ...] = ("kind", "user_id"), at: str = "ts_ms") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Receipts, caches with a time to live, and one computation for like requests."""
+"""Attestations, caches with a time to live, and one computation for like requests."""
 
 from __future__ import annotations
 
@@ -11,14 +11,14 @@ from ..functions import ids, similarity, times, urls
 from . import evidence
 
 #: Forms of fields, lengths, and times to live in seconds.
-RECEIPT_ID = r"^[A-Za-z0-9_-]{10}$"
+ATTESTATION_ID = r"^[A-Za-z0-9_-]{10}$"
 SNIPPET, SCHEMA_VERSION = 140, 1
 TTL_FOUND, TTL_EMPTY, TTL_SNAPSHOT, TTL_LIVE, TTL_DEAD = 30 * 86_400, 6 * 3_600, 180 * 86_400, 3_600, 600
-RECEIPT_DDL = "id string, schema_version int, verdict_code string, score double, handle string, claimed_date_iso string, snapshot_ts string, original_url string, archive_snippet string, fields_edited int, created_at long"
+ATTESTATION_DDL = "id string, schema_version int, verdict_code string, score double, handle string, claimed_date_iso string, snapshot_ts string, original_url string, archive_snippet string, fields_edited int, created_at long"
 
 
 def request_valid(r: str = "") -> Column:
-    """Whether a receipt request's fields have their forms."""
+    """Whether an attestation request's fields have their forms."""
     c = lambda name: F.col(f"{r}{name}")
     minute = c("claimed_minute")
     checks = [
@@ -43,16 +43,16 @@ def live_valid(post_id: Column) -> Column:
     return F.coalesce(post_id.rlike(r"^[0-9]{1,25}$"), F.lit(False))
 
 
-def receipt_id(*parts: Column) -> Column:
+def attestation_id(*parts: Column) -> Column:
     """Ten characters of a digest in the URL-safe alphabet: the same request always has the same id."""
     digest = F.base64(F.unhex(F.sha2(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)).cast("binary"), 256)))
     return F.substring(F.translate(digest, "+/", "-_"), 1, 10)
 
 
 def issue(requests: DataFrame, texts: DataFrame, now_ms: int, compatibility: bool = True) -> DataFrame:
-    """Receipts of valid requests whose page is had. Scores are computed from the page, never taken from the request.
+    """Attestations of valid requests whose page is had. Scores are computed from the page, never taken from the request.
 
-    ``texts``: snapshot_ts, url, post. A repeated request yields one receipt.
+    ``texts``: snapshot_ts, url, post. A repeated request yields one attestation.
     """
     rows = requests.where(request_valid()).join(texts.withColumnRenamed("url", "original_url"), ["snapshot_ts", "original_url"])
     ms = ids.id_to_ms(urls.post_id_of(F.col("original_url")))
@@ -60,7 +60,7 @@ def issue(requests: DataFrame, texts: DataFrame, now_ms: int, compatibility: boo
     rows = rows.withColumns({"__date": times.date_consistent(F.col("claimed_date_iso"), ms), "__time": times.time_consistent(F.col("claimed_date_iso"), F.col("claimed_minute"), ms), "__t": similarity.text_similarity(F.col("claimed_text"), F.when(readable, F.col("post.text")), compatibility)})
     rows = rows.withColumn("__s", similarity.gated_score(F.col("__t"), F.lit(True), F.col("__date"), F.col("__time"), readable))
     code = evidence.verdict_code(F.lit("x"), F.lit(True), F.lit(True), F.lit(False), F.col("__s.score"), F.col("__time"), readable)
-    key = receipt_id(F.col("handle"), F.col("claimed_date_iso"), F.col("claimed_minute"), F.col("claimed_text"), F.col("snapshot_ts"), F.col("original_url"), F.col("fields_edited"))
+    key = attestation_id(F.col("handle"), F.col("claimed_date_iso"), F.col("claimed_minute"), F.col("claimed_text"), F.col("snapshot_ts"), F.col("original_url"), F.col("fields_edited"))
     out = rows.select(
         key.alias("id"), F.lit(SCHEMA_VERSION).alias("schema_version"), code.alias("verdict_code"), F.col("__s.score").alias("score"), "handle", "claimed_date_iso", "snapshot_ts", "original_url",
         F.substring(F.coalesce("post.text", F.lit("")), 1, SNIPPET).alias("archive_snippet"), F.col("fields_edited").cast("int").alias("fields_edited"), F.lit(now_ms).cast("long").alias("created_at"),
@@ -68,23 +68,23 @@ def issue(requests: DataFrame, texts: DataFrame, now_ms: int, compatibility: boo
     return out.dropDuplicates(["id"])
 
 
-def with_defaults(receipts: DataFrame) -> DataFrame:
+def with_defaults(attestations: DataFrame) -> DataFrame:
     """The table's columns: defaults filled, rows without a required value gone, the first row of each id."""
     blank = {"schema_version": F.lit(SCHEMA_VERSION), "archive_snippet": F.lit(""), "fields_edited": F.lit(0)}
-    columns = [c.split()[0] for c in RECEIPT_DDL.split(", ")]
-    out = receipts.withColumns({c: F.coalesce(F.col(c) if c in receipts.columns else F.lit(None), d) for c, d in blank.items()})
+    columns = [c.split()[0] for c in ATTESTATION_DDL.split(", ")]
+    out = attestations.withColumns({c: F.coalesce(F.col(c) if c in attestations.columns else F.lit(None), d) for c, d in blank.items()})
     for c in ("id", "verdict_code", "handle", "claimed_date_iso", "snapshot_ts", "original_url", "created_at"):
         out = out.where(F.col(c).isNotNull())
     first = Window.partitionBy("id").orderBy("created_at", "verdict_code")
     return out.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").select(*columns)
 
 
-def save(receipts: DataFrame, path: str) -> None:
-    """Append receipts that the store doesn't have yet, clustered by id so that a look-up reads few row groups."""
-    spark = receipts.sparkSession
-    rows = with_defaults(receipts)
+def save(attestations: DataFrame, path: str) -> None:
+    """Append attestations that the store doesn't have yet, clustered by id so that a look-up reads few row groups."""
+    spark = attestations.sparkSession
+    rows = with_defaults(attestations)
     if _exists(spark, path):
-        rows = rows.join(spark.read.schema(RECEIPT_DDL).parquet(path).select("id"), "id", "left_anti")
+        rows = rows.join(spark.read.schema(ATTESTATION_DDL).parquet(path).select("id"), "id", "left_anti")
     rows.repartition("id").sortWithinPartitions("id").write.mode("append").parquet(path)
 
 
@@ -94,11 +94,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def lookup(receipts: DataFrame, receipt: str) -> DataFrame:
-    """The receipt of an id; an ill-formed one is an error. The equality reaches the Parquet scan."""
-    if not re.fullmatch(RECEIPT_ID[1:-1], receipt):
-        raise ValueError("a receipt id has ten characters of A-Z a-z 0-9 _ -")
-    return receipts.where(F.col("id") == receipt)
+def lookup(attestations: DataFrame, attestation: str) -> DataFrame:
+    """The attestation of an id; an ill-formed one is an error. The equality reaches the Parquet scan."""
+    if not re.fullmatch(ATTESTATION_ID[1:-1], attestation):
+        raise ValueError("an attestation id has ten characters of A-Z a-z 0-9 _ -")
+    return attestations.where(F.col("id") == attestation)
 
 
 # --- caches -------------------------------------------------------------------------------------------------------

@@ -516,24 +516,24 @@ def _requests(spark, sf_dir):
     )
 
 
-def _receipts(spark, sf_dir):
+def _attestations(spark, sf_dir):
     texts = A.pages(spark, sf_dir).select("snapshot_ts", "url", htmlpost.extract_post(F.col("html")).alias("post"))
     return store.issue(_requests(spark, sf_dir), texts, now_ms=1_700_000_000_000)
 
 
-_RECEIPTS_SQL = """SELECT account AS handle, strftime(make_timestamp(ms * 1000), '%Y-%m-%d') AS claimed_date_iso, CASE WHEN event_id % 5 = 0 THEN 'NO_MATCH' ELSE 'MATCH_STRONG' END AS verdict_code, CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS score,
+_ATTESTATIONS_SQL = """SELECT account AS handle, strftime(make_timestamp(ms * 1000), '%Y-%m-%d') AS claimed_date_iso, CASE WHEN event_id % 5 = 0 THEN 'NO_MATCH' ELSE 'MATCH_STRONG' END AS verdict_code, CAST(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS score,
   CASE WHEN event_id % 5 = 0 THEN '' ELSE 'Account ' || account || ' reported a ' || event_type || ' as number ' || event_id || ' of the evening service' END AS archive_snippet, CAST(event_id % 2 = 0 AS INTEGER) AS fields_edited FROM base WHERE event_id % 29 <> 0"""
 
 
-@query(A.with_sql(A.BASE_SQL) + _RECEIPTS_SQL)
-def receipt_issue(spark, sf_dir):
-    return _receipts(spark, sf_dir).select("handle", "claimed_date_iso", "verdict_code", "score", "archive_snippet", "fields_edited")
+@query(A.with_sql(A.BASE_SQL) + _ATTESTATIONS_SQL)
+def attestation_issue(spark, sf_dir):
+    return _attestations(spark, sf_dir).select("handle", "claimed_date_iso", "verdict_code", "score", "archive_snippet", "fields_edited")
 
 
 @query()
-def receipt_lookup(spark, sf_dir):
-    """The receipt of one id, out of all."""
-    rows = store.with_defaults(_receipts(spark, sf_dir))
+def attestation_lookup(spark, sf_dir):
+    """The attestation of one id, out of all."""
+    rows = store.with_defaults(_attestations(spark, sf_dir))
     return store.lookup(rows, rows.agg(F.min("id").alias("id")).first().id)
 
 
