@@ -108,6 +108,11 @@ def test_copy_has_no_verdict_on_truth(spark):
     assert {r.code: r.title for r in evidence.with_copy(rows).collect()} == {"MATCH_LIKELY": "Likely match - 85%. A few words differ.", "NO_MATCH": "No archive match found. That does not mean it is not real.", "MATCH_STRONG": "Archived original found - ?% match."}
 
 
+def test_labels(evaluate, spark):
+    assert evaluate(evidence.tier(F.lit("MATCH_LIKELY")), evidence.tier(F.lit("MATCH_PARTIAL")), evidence.tier(F.lit("NO_MATCH")), evidence.check_label(F.lit(False)), evidence.check_label(F.lit(None).cast("boolean")), evidence.share_label(F.lit(0.845))) == ("default", "secondary", "outline", "No", "Unknown", "85% similar")
+    assert evidence.general_steps(spark).count() == 4
+
+
 def test_next_steps(evaluate):
     steps = evaluate(evidence.next_steps(F.lit("@nasa"), F.lit("  one two three four five six seven eight nine "), F.lit("2024-02-28")))[0]
     assert len(steps) == 7 and steps[0].url == "https://x.com/search?q=from%3Anasa%20since%3A2024-02-28%20until%3A2024-02-29&src=typed_query" and steps[2].url.endswith("one%20two%20three%20four%20five%20six%20seven%20eight")
@@ -168,8 +173,9 @@ def test_attestations(spark, tmp_path):
 def test_caches(spark):
     entries = spark.createDataFrame([("k", "a", 100, 50), ("k", "b", 120, 10), ("z", "c", 0, 1)], "key string, value string, written_at long, ttl_sec long")
     requests = spark.createDataFrame([(1, "k", 99), (2, "k", 100), (3, "k", 125), (4, "k", 131), (5, "q", 1), (6, None, 1)], "request_id int, key string, at long")
-    got = {r.request_id: (r.value, r.hit) for r in store.cache_lookup(requests, entries).collect()}
-    assert got == {1: (None, False), 2: ("a", True), 3: ("b", True), 4: (None, False), 5: (None, False), 6: (None, False)}
+    for block in (86_400, 7, 20):
+        got = {r.request_id: (r.value, r.hit) for r in store.cache_lookup(requests, entries, block).collect()}
+        assert got == {1: (None, False), 2: ("a", True), 3: ("b", True), 4: (None, False), 5: (None, False), 6: (None, False)}
     assert [r.key for r in store.newest_entries(entries, 1).collect()] == ["k"]
 
 
@@ -209,6 +215,17 @@ def test_index_fetch(evaluate):
         return Answer(b"[]", request.full_url)
 
     assert index.fetch("https://web.archive.org/x", "a", opener=opener, sleep=waits.append) == b"[]" and waits == [2.0, 1.0]
+    def failing(error):
+        def run(request, timeout):
+            raise error
+
+        with pytest.raises(index.FetchError) as e:
+            index.fetch("https://web.archive.org/x", "a", opener=run, sleep=lambda s: None)
+        return e.value.code
+
+    gone = urllib.error.HTTPError("u", 404, "no", {}, None)
+    assert [failing(gone), failing(urllib.error.HTTPError("u", 429, "no", {}, None)), failing(TimeoutError()), failing(urllib.error.URLError("x"))] == ["ARCHIVE_ERROR", "ARCHIVE_RATE_LIMITED", "ARCHIVE_TIMEOUT", "ARCHIVE_ERROR"]
+    assert index.fetch("https://web.archive.org/x", "a", most_bytes=2, opener=lambda r, timeout: Answer(b"12345", r.full_url)) == b"12"
     with pytest.raises(ValueError):
         index.fetch("https://evil.com/", "a", opener=opener)
     with pytest.raises(ValueError):

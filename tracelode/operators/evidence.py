@@ -22,6 +22,13 @@ COPY = (
     ("UNSUPPORTED_PLATFORM", "We can only check X/Twitter posts right now.", "If this is an X post, use the “this is an X post” override."),
 )
 
+STEPS = (
+    ("Search the Wayback Machine", "https://web.archive.org/web/*/https://x.com/*", "Browse captures for this account directly on web.archive.org."),
+    ("X advanced search", "https://x.com/search-advanced", "Look for the live post or nearby posts from the same account."),
+    ("Check the account history", "https://x.com/settings/account", "Renames and deletions break archives - confirm the handle still belongs to the same account."),
+    ("Support the Internet Archive", "https://archive.org/donate", "The Wayback Machine is a nonprofit. Donations keep captures free."),
+)
+
 
 def page_texts(pages: DataFrame, needed: DataFrame) -> DataFrame:
     """(snapshot_ts, url, post) of the pages that are needed. Each is parsed once, after the gates on kind and size."""
@@ -137,6 +144,25 @@ def with_copy(verdicts: DataFrame) -> DataFrame:
     return out.withColumn("title", F.replace("title_form", F.lit("{}"), percent)).drop("title_form")
 
 
+def tier(code: Column) -> Column:
+    """How much a verdict is made of: default for a match, secondary for a partial one, outline for none."""
+    return F.when(code.isin("MATCH_STRONG", "MATCH_LIKELY"), "default").when(code.isin("MATCH_PARTIAL", "POST_EXISTS_TEXT_UNREADABLE"), "secondary").otherwise("outline")
+
+
+def check_label(value: Column) -> Column:
+    """A check as it is shown: Yes, No or Unknown."""
+    return F.when(value, "Yes").when(~value, "No").otherwise("Unknown")
+
+
+def share_label(share: Column) -> Column:
+    return F.coalesce(F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("% similar")), F.lit("Unknown"))
+
+
+def general_steps(spark: SparkSession) -> DataFrame:
+    """Where to look on whatever the verdict: label, url, blurb."""
+    return spark.createDataFrame(list(STEPS), "label string, url string, blurb string")
+
+
 def next_steps(handle: Column, phrase: Column, iso: Column) -> Column:
     """array of struct(label, url): where to look on; the last two are reminders without a URL."""
     name = F.trim(F.regexp_replace(handle, "^@", ""))

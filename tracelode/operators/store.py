@@ -124,19 +124,34 @@ def live_ttl(status: Column) -> Column:
     return F.when(status == "live", TTL_LIVE).otherwise(TTL_DEAD)
 
 
-def cache_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
+def cache_lookup(requests: DataFrame, entries: DataFrame, block: int = 86_400) -> DataFrame:
     """Requests (request_id, key, at) with the value that a cache of ``entries`` (key, value, written_at, ttl_sec) had then.
 
-    The latest write up to the request counts, if it hasn't expired. Both sides are merged into one stream of events a
-    key, so no request meets more than one entry: the last write before each is carried along.
+    The latest write up to the request counts, if it hasn't expired. Writes and reads of a key are merged into one
+    stream, so no request meets more than one entry: the last write before each is carried along. Streams are cut into
+    blocks of ``block`` seconds, each of which begins with the last write before it, so a key with a third of all rows is
+    spread over its blocks.
     """
-    none = lambda kind: F.lit(None).cast(kind)
     kinds = dict(entries.dtypes)
-    writes = entries.select("key", F.col("written_at").alias("__at"), F.lit(0).alias("__is"), none(dict(requests.dtypes)["request_id"]).alias("request_id"), F.struct("written_at", "ttl_sec", "value").alias("__e"))
-    reads = requests.select("key", F.col("at").alias("__at"), F.lit(1).alias("__is"), "request_id", none(f"struct<written_at:{kinds['written_at']},ttl_sec:{kinds['ttl_sec']},value:{kinds['value']}>").alias("__e"))
+    entry = f"struct<written_at:{kinds['written_at']},value:{kinds['value']},ttl_sec:{kinds['ttl_sec']}>"
+    none = lambda kind: F.lit(None).cast(kind)
+    of = lambda at: F.floor(F.col(at) / block)
     # Of two writes at one time the greater value stands, so that reruns agree.
-    order = Window.partitionBy("key").orderBy("__at", "__is", "__e.value").rowsBetween(Window.unboundedPreceding, 0)
-    rows = writes.unionByName(reads).withColumn("__last", F.last("__e", ignorenulls=True).over(order)).where("__is = 1")
+    written = entries.select("key", F.struct("written_at", "value", "ttl_sec").alias("__e"), F.col("written_at").alias("__at"), of("written_at").alias("__block"))
+    asked = requests.select("key", "request_id", F.col("at").alias("__at"), of("at").alias("__block"))
+    last = written.groupBy("key", "__block").agg(F.max("__e").alias("__e"))
+    marks = last.unionByName(asked.select("key", "__block").distinct().withColumn("__e", none(entry)))
+    marks = marks.groupBy("key", "__block").agg(F.max("__e").alias("__e"))
+    before = Window.partitionBy("key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marks.withColumn("__e", F.last("__e", ignorenulls=True).over(before)).where(F.col("__e").isNotNull())
+    kind = dict(requests.dtypes)["request_id"]
+    stream = (
+        carried.select("key", "__block", F.col("__e.written_at").alias("__at"), F.lit(0).alias("__is"), none(kind).alias("request_id"), "__e")
+        .unionByName(written.select("key", "__block", "__at", F.lit(0).alias("__is"), none(kind).alias("request_id"), "__e"))
+        .unionByName(asked.select("key", "__block", "__at", F.lit(1).alias("__is"), "request_id", none(entry).alias("__e")))
+    )
+    order = Window.partitionBy("key", "__block").orderBy("__at", "__is", "__e").rowsBetween(Window.unboundedPreceding, 0)
+    rows = stream.withColumn("__last", F.last("__e", ignorenulls=True).over(order)).where("__is = 1")
     fresh = F.col("__at") <= F.col("__last.written_at") + F.col("__last.ttl_sec")
     return rows.select("request_id", "key", F.col("__at").alias("at"), F.when(fresh, F.col("__last.value")).alias("value"), F.coalesce(fresh, F.lit(False)).alias("hit"))
 

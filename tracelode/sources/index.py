@@ -73,26 +73,38 @@ def wait_ms(retry_after: str | None, attempt: int) -> int:
         return min(4000, 500 * 2**attempt)
 
 
-def fetch(url: str, agent: str, allowed: tuple[str, ...] = urls.ALLOWED_HOSTS, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """A page of an allowed host over https, tried again when the server is busy or fails. Redirects to other hosts are refused."""
+class FetchError(RuntimeError):
+    """A request that failed for good; ``code`` says how."""
+
+    def __init__(self, code: str, message: str, retry_after_ms: int | None = None):
+        super().__init__(f"{code}: {message}")
+        self.code, self.retry_after_ms = code, retry_after_ms
+
+
+def fetch(url: str, agent: str, allowed: tuple[str, ...] = urls.ALLOWED_HOSTS, most_bytes: int | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> bytes:
+    """A page of an allowed host over https, at most ``most_bytes`` of it; tried again when the server is busy or fails. Redirects to other hosts are refused."""
+    parts = urlsplit(url)
+    if parts.scheme != "https" or parts.hostname not in allowed or parts.username:
+        raise ValueError(f"{parts.hostname} is no allowed host")
     for attempt in range(RETRIES + 1):
-        parts = urlsplit(url)
-        if parts.scheme != "https" or parts.hostname not in allowed or parts.username:
-            raise ValueError(f"{parts.hostname} is no allowed host")
+        wait = wait_ms(None, attempt)
         try:
             with opener(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=TIMEOUT_S) as answer:
                 if urlsplit(answer.geturl()).hostname not in allowed:
                     raise ValueError("redirected to a host that isn't allowed")
-                return answer.read()
+                return answer.read() if most_bytes is None else answer.read(most_bytes)
         except urllib.error.HTTPError as e:
-            if attempt == RETRIES or not (e.code in (408, 429) or e.code >= 500):
-                raise
-            sleep(wait_ms(e.headers.get("Retry-After"), attempt) / 1000)
-        except urllib.error.URLError:
-            if attempt == RETRIES:
-                raise
-            sleep(wait_ms(None, attempt) / 1000)
-    raise AssertionError
+            wait = wait_ms(e.headers.get("Retry-After"), attempt)
+            error = FetchError("ARCHIVE_RATE_LIMITED" if e.code in (429, 503) else "ARCHIVE_ERROR", f"status {e.code}", wait)
+            if not (e.code in (408, 429) or e.code >= 500):
+                raise error from e
+        except TimeoutError:
+            error = FetchError("ARCHIVE_TIMEOUT", "no answer in time")
+        except urllib.error.URLError as e:
+            error = FetchError("ARCHIVE_TIMEOUT" if isinstance(e.reason, TimeoutError) else "ARCHIVE_ERROR", str(e.reason))
+        if attempt < RETRIES:
+            sleep(wait / 1000)
+    raise error
 
 
 class _Query(InputPartition):
