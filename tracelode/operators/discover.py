@@ -58,7 +58,8 @@ def readable_capture(captures: DataFrame, *by: str) -> DataFrame:
 
 def search(claims: DataFrame, captures: DataFrame) -> DataFrame:
     """What a search yields: of each claim its captures, one a post, at most SEARCH_CAP in order of ids (``seq``)."""
-    best = readable_capture(matches(claims, captures), "claim_id")
+    # Dealt by claim once, the rows need no further shuffle for the three windows to come.
+    best = readable_capture(matches(claims, captures).repartition("claim_id"), "claim_id")
     return best.withColumn("seq", F.row_number().over(Window.partitionBy("claim_id").orderBy("post_id"))).where(F.col("seq") <= SEARCH_CAP)
 
 
