@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import htmlpost, similarity, textdiff, times, urls
+from ..scratch import bounded_broadcast, stage
 
 #: Thresholds, limits and texts of the verdicts.
 STRONG, LIKELY, PARTIAL = 0.90, 0.75, 0.55
@@ -31,10 +32,16 @@ STEPS = (
 
 
 def page_texts(pages: DataFrame, needed: DataFrame) -> DataFrame:
-    """(snapshot_ts, url, post) of the pages that are needed. Each is parsed once, after the gates on kind and size."""
+    """(snapshot_ts, url, post) of the pages that are needed, after the gates on kind and size.
+
+    What is asked for goes to the pages, not the pages to it, as long as it is small enough; and only extracted texts,
+    never markup, are brought together to drop repeated pages.
+    """
     fine = F.lower(F.coalesce("content_type", F.lit(""))).rlike("html|json") & (F.octet_length("html") <= PAGE_BYTES) & urls.snapshot_eligible(F.col("url"))
-    asked = needed.select("snapshot_ts", "url").distinct()
-    return pages.where(fine).join(asked, ["snapshot_ts", "url"], "left_semi").dropDuplicates(["snapshot_ts", "url"]).select("snapshot_ts", "url", htmlpost.extract_post(F.col("html")).alias("post"))
+    asked = stage(needed.select("snapshot_ts", "url").distinct(), "asked")
+    some = pages.where(fine).join(bounded_broadcast(asked, asked.count(), 256), ["snapshot_ts", "url"], "left_semi")
+    texts = some.select("snapshot_ts", "url", htmlpost.extract_post(F.col("html")).alias("post"))
+    return texts.groupBy("snapshot_ts", "url").agg(F.max("post").alias("post"))
 
 
 def scored(ranked: DataFrame, claims: DataFrame, texts: DataFrame, compatibility: bool = True) -> DataFrame:
