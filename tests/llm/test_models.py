@@ -150,7 +150,9 @@ def test_filter_never_counts_too_few():
     rng = np.random.default_rng(7)
     keys = np.unique(rng.integers(0, 2**48, 5000, dtype=np.uint64))
     counts = rng.integers(1, 2000, len(keys)).astype(np.uint64)
-    table = lm_bloom.Slice([("pair", 0, lm_bloom.build_filter(keys, counts, 1.5).tobytes())], 1, 1.5)
+    blob = lm_bloom.build_filter(keys, counts, 1.5).tobytes()
+    table = lm_bloom.Slice([("pair", 0, len(keys), int(counts.sum()), len(blob))], 1, 1.5)
+    table.put("pair", 0, blob)
     level = table.pairs(keys).astype(int)
     assert (level >= lm_bloom.levels(counts, 1.5)).all() and (level == lm_bloom.levels(counts, 1.5)).mean() > 0.98
     others = np.setdiff1d(rng.integers(0, 2**48, 20_000, dtype=np.uint64), keys)

@@ -23,7 +23,6 @@ finite. Empty table: no rows. Other columns of the input, whatever their names,
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +40,7 @@ END = np.uint64(0x9DDFEA08EB382D69)
 START = np.uint64(0xC2B2AE3D27D4EB4F)
 SHARD_BYTES = 24 << 20  # text for each shard
 BITS = 14  # of filter an event
-PROBES = 9
+PROBES = 6
 _ONE = np.uint64(1)
 
 
@@ -156,23 +155,34 @@ def _event(keys: np.ndarray, level: int) -> np.ndarray:
     return mix(keys + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
 
 
-def _places(keys: np.ndarray, level: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+def _spots(keys: np.ndarray, level: int, words: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Of each event (key, level) two words of the filter and the three bits of each that it sets.
+
+    All probes of an event fall into two words: looking one up touches memory once or twice, not once a bit.
+    """
     h = _event(keys, level)
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | _ONE
-    for _ in range(PROBES):
-        yield (a * bits >> np.uint64(32)).astype(np.int64)
-        a = (a + b) & np.uint64(0xFFFFFFFF)
+    g = mix(h ^ np.uint64(0x2545F4914F6CDD1D))
+    for half, shift in ((h & np.uint64(0xFFFFFFFF), 0), (h >> np.uint64(32), 18)):
+        yield (half * words >> np.uint64(32)).astype(np.int64), [g >> np.uint64(shift + 6 * k) & np.uint64(63) for k in range(PROBES // 2)]
+
+
+def _mask(bits: list[np.ndarray]) -> np.ndarray:
+    out = _ONE << bits[0]
+    for b in bits[1:]:
+        out |= _ONE << b
+    return out
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray, base: float) -> np.ndarray:
-    """Bytes of the filter of one shard; its bits are a multiple of 64."""
+    """The filter of one shard, as 64-bit words."""
     q = levels(counts, base)
-    size = max(64, -(-int(q.sum()) * BITS // 64) * 64)
-    bits = np.zeros(size, dtype=bool)
+    size = max(1, -(-int(q.sum()) * BITS // 64))
+    on = np.zeros(size * 64, dtype=bool)
     for level in range(1, int(q.max(initial=0)) + 1):
-        for at in _places(keys[q >= level], level, np.uint64(size)):
-            bits[at] = True
-    return np.packbits(bits, bitorder="little")
+        for at, bits in _spots(keys[q >= level], level, np.uint64(size)):
+            for b in bits:
+                on[at * 64 + b.astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").view("<u8")
 
 
 def _reduce(base: float):
@@ -193,10 +203,11 @@ class Model:
     n: int  # training tokens
     v: int  # distinct ones
     starts: int  # training texts
+    sizes: list[tuple[str, int, int, int, int]]  # kind, shard, entries, total, bytes
     slices: list[list[int]]
 
 
-def train(docs: DataFrame, base: float = 1.5, slice_bytes: int = 192 << 20) -> Model:
+def train(docs: DataFrame, base: float = 1.5, slice_bytes: int = 256 << 20) -> Model:
     """Counts all rows of ``docs`` (text) into a model in the shared folder."""
     common.ship(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
@@ -205,48 +216,59 @@ def train(docs: DataFrame, base: float = 1.5, slice_bytes: int = 192 << 20) -> M
     blobs = texts.mapInArrow(_count(shards), "kind string, shard int, blob binary")
     parts = blobs.groupBy("kind", "shard").applyInPandas(_reduce(base), "kind string, shard int, entries long, total long, size long, blob binary")
     parts = common.stage(parts, "lm-parts")
-    sizes = parts.groupBy("shard").agg(F.sum("size").alias("size")).orderBy("shard").collect()
+    # Two rows a shard, each of which stands for SHARD_BYTES of text.
+    sizes = sorted(map(tuple, parts.select("kind", "shard", "entries", "total", "size").collect()), key=lambda r: (r[1], r[0]))
     slices: list[list[int]] = [[]]
-    room = slice_bytes
-    for r in sizes:  # one row a shard, each of which stands for SHARD_BYTES of text
-        if slices[-1] and r.size > room:
+    room, bytes_of = slice_bytes, dict.fromkeys(range(shards), 0)
+    for r in sizes:
+        bytes_of[r[1]] += r[4]
+    for shard, size in bytes_of.items():
+        if slices[-1] and size > room:
             slices.append([])
             room = slice_bytes
-        slices[-1].append(r.shard)
-        room -= r.size
-    words = parts.where("kind = 'word'").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("entries"), F.lit(0)).alias("v")).first()
-    return Model(parts, shards, base, words.n, words.v, seen.n, slices)
+        slices[-1].append(shard)
+        room -= size
+    n, v = (sum(r[k] for r in sizes if r[0] == "word") for k in (3, 2))
+    return Model(parts, shards, base, n, v, seen.n, sizes, slices)
 
 
 # --- scoring ------------------------------------------------------------------------------------------------------
 
 
 class Slice:
-    """Word counts and filters of some shards, ready for look-ups."""
-
-    def __init__(self, rows: list[tuple[str, int, bytes]], shards: int, base: float):
-        self.shift = shards.bit_length() - 1
-        self.base = base
-        words = sorted((s, _unpack(b)) for k, s, b in rows if k == "word")
-        self.keys = np.concatenate([np.zeros(0, np.uint64), *(x[0] for _, x in words)])
-        self.counts = np.concatenate([np.zeros(0, np.uint64), *(x[1] for _, x in words)])
+    """Word counts and filters of some shards, ready for look-ups. It is made on the driver and broadcast as it is."""
+
+    def __init__(self, sizes: list[tuple[str, int, int, int, int]], shards: int, base: float):
+        """``sizes``: (kind, shard, entries, total, bytes) of what is to come, which gets its room at once."""
+        self.shift, self.base = shards.bit_length() - 1, base
+        at = {kind: np.zeros(shards + 1, np.int64) for kind in ("word", "pair")}
+        for kind, shard, entries, _, n in sizes:
+            at[kind][shard + 1] = entries if kind == "word" else n // 8
+        self.word_first, self.first = (np.cumsum(at[kind]) for kind in ("word", "pair"))
+        self.size = np.diff(self.first).astype(np.uint64)
+        self.keys = np.zeros(self.word_first[-1], np.uint64)
+        self.counts = np.zeros(len(self.keys), np.uint32 if all(total < 1 << 32 for *_, total, _ in sizes) else np.uint64)
+        self.filter = np.zeros(self.first[-1], np.uint64)
+
+    def put(self, kind: str, shard: int, blob: bytes) -> None:
+        if kind == "pair":
+            self.filter[self.first[shard] : self.first[shard + 1]] = np.frombuffer(blob, "<u8")
+        else:
+            here = slice(self.word_first[shard], self.word_first[shard + 1])
+            self.keys[here], self.counts[here] = _unpack(blob)
+
+    def close(self) -> Slice:
+        """Index the words, whose hashes ascend over all shards, by their first bits."""
         self.top = max(1, len(self.keys).bit_length())
-        self.index = np.searchsorted(self.keys, np.arange(1 << self.top, dtype=np.uint64) << np.uint64(64 - self.top))
-        self.first, self.bits = np.zeros(shards, np.int64), np.zeros(shards, np.uint64)
-        filters, at = [], 0
-        for kind, shard, blob in rows:
-            if kind == "pair":
-                filters.append(np.frombuffer(blob, np.uint8))
-                self.first[shard], self.bits[shard] = at * 8, len(blob) * 8
-                at += len(blob)
-        self.bytes = np.concatenate([np.zeros(0, np.uint8), *filters])
+        self.index = np.searchsorted(self.keys, np.arange(1 << self.top, dtype=np.uint64) << np.uint64(64 - self.top)).astype(np.int32 if len(self.keys) < 1 << 31 else np.int64)
+        return self
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """Their exact counts; 0 for those that this slice doesn't have."""
         out = np.zeros(len(hashes), dtype=np.int64)
         if not len(self.keys):
             return out
-        at = self.index[(hashes >> np.uint64(64 - self.top)).astype(np.int64)]
+        at = self.index[(hashes >> np.uint64(64 - self.top)).astype(np.int64)].astype(np.int64)
         left = np.arange(len(hashes))
         while len(left):
             key = self.keys[np.minimum(at, len(self.keys) - 1)]
@@ -261,18 +283,17 @@ class Slice:
         """Their quantised counts; 0 for unseen ones and those that this slice doesn't have."""
         out = np.zeros(len(keys), dtype=np.uint8)
         shard = (keys >> np.uint64(48 - self.shift)).astype(np.int64) if self.shift else np.zeros(len(keys), np.int64)
-        left = np.flatnonzero(self.bits[shard])
+        left = np.flatnonzero(self.size[shard])
         level = 1
         while len(left):
-            bits, first, key = self.bits[shard[left]], self.first[shard[left]], keys[left]
-            alive = np.arange(len(left))
-            h = _event(key, level)
-            a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | _ONE
-            for _ in range(PROBES):
-                at = (a * bits >> np.uint64(32)).astype(np.int64) + first
-                on = self.bytes[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1) == 1
-                alive, a, b, bits, first = alive[on], (a[on] + b[on]) & np.uint64(0xFFFFFFFF), b[on], bits[on], first[on]
-            left = left[alive]
+            home = shard[left]
+            (one, first), (two, second) = _spots(keys[left], level, self.size[home])
+            base = self.first[home]
+            mask = _mask(first)
+            on = np.flatnonzero(self.filter[one + base] & mask == mask)
+            mask = _mask([b[on] for b in second])
+            on = on[self.filter[two[on] + base[on]] & mask == mask]
+            left = left[on]
             out[left] = level
             level += 1
         return out
@@ -290,28 +311,12 @@ def scores(count: np.ndarray, quantised: np.ndarray, offsets: np.ndarray, n: int
     return np.diff(offsets), add((count > 0).astype(np.int64)), add(np.log10(one)), add(np.log10(both))
 
 
-_slices: dict[str, Slice] = {}
-
-
-def _load(sent, shards: int, base: float) -> Slice:
-    """The broadcast slice as look-up tables, built once a worker."""
-    if sent.id not in _slices:
-        _slices.clear()
-        _slices[sent.id] = Slice(sent.rows.value, shards, base)
-    return _slices[sent.id]
-
-
-class _Sent:
-    def __init__(self, name: str, rows):
-        self.id, self.rows = name, rows
-
-
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _one_pass(sent, shards: int, base: float, n: int, v: int, starts: int, mass: float):
+def _one_pass(sent, base: float, n: int, v: int, starts: int, mass: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _load(sent, shards, base)
+        tables = sent.value
         for batch in common.sub_batches(batches):
             hashes, offsets = tokens(common.texts(batch.column("text")))
             found = scores(tables.words(hashes), tables.pairs(pairs(hashes, offsets)), offsets, n, v, starts, base, mass)
@@ -320,9 +325,9 @@ def _one_pass(sent, shards: int, base: float, n: int, v: int, starts: int, mass:
     return run
 
 
-def _answers(sent, shards: int, base: float):
+def _answers(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, press = _load(sent, shards, base), zstandard.ZstdCompressor(level=1)
+        tables, press = sent.value, zstandard.ZstdCompressor(level=1)
         for batch in common.sub_batches(batches):
             hashes, offsets = tokens(common.texts(batch.column("text")))
             count, level = tables.words(hashes).astype("<i8"), tables.pairs(pairs(hashes, offsets))
@@ -355,26 +360,29 @@ def score_documents(docs: DataFrame, model: Model, mass: float = 500.0) -> DataF
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
 
-    def send(number: int) -> _Sent:
-        at = model.parts.where(F.col("shard").isin(model.slices[number])) if model.slices[number] else model.parts
-        return _Sent(uuid.uuid4().hex, spark.sparkContext.broadcast([(r.kind, r.shard, bytes(r.blob)) for r in at.select("kind", "shard", "blob").toLocalIterator()]))
+    def send(number: int):
+        mine = set(model.slices[number])
+        tables = Slice([r for r in model.sizes if r[1] in mine], model.shards, model.base)
+        for r in model.parts.where(F.col("shard").isin(*mine)).select("kind", "shard", "blob").toLocalIterator():
+            tables.put(r.kind, r.shard, bytes(r.blob))
+        return spark.sparkContext.broadcast(tables.close())
 
     numbers = (model.n, model.v, model.starts)
     if len(model.slices) == 1:
-        out = rows.mapInArrow(_one_pass(send(0), model.shards, model.base, *numbers, mass), _OUT)
+        out = rows.mapInArrow(_one_pass(send(0), model.base, *numbers, mass), _OUT)
     else:
         rows = rows.withColumn("row", F.monotonically_increasing_id())  # of the same files in the same order, pass by pass
         found = None
         for k in range(len(model.slices)):
             sent = send(k)
-            one = common.stage(rows.mapInArrow(_answers(sent, model.shards, model.base), "row long, doc_id long, held_out boolean, blob binary"), "lm-answers")
-            sent.rows.unpersist()
+            one = common.stage(rows.mapInArrow(_answers(sent), "row long, doc_id long, held_out boolean, blob binary"), "lm-answers")
+            sent.unpersist()
             found = one if found is None else found.unionByName(one)
         whole = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.collect_list("blob").alias("blobs"))
         out = whole.mapInArrow(_added(model.base, *numbers, mass), _OUT)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def op9_lm_bloom(spark: SparkSession, sf_dir: str, slice_bytes: int = 192 << 20, mass: float = 500.0) -> DataFrame:
+def op9_lm_bloom(spark: SparkSession, sf_dir: str, slice_bytes: int = 256 << 20, mass: float = 500.0) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", (common.fold_of(F.col("doc_id")) == 1).alias("held_out"))
     return score_documents(docs, train(docs.where("NOT held_out"), slice_bytes=slice_bytes), mass)
