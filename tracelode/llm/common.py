@@ -11,13 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..scratch import scratch_path, stage  # noqa: F401  operators take them from here
+from ..scratch import BROADCAST_BYTES, bounded_broadcast, scratch_path, stage  # noqa: F401  operators take them from here
 
 #: Rows of an Arrow batch to Python. Texts make batches large in bytes, and both sides hold whole batches.
 ARROW_ROWS = 2000
 
-#: A side is broadcast only when it is known to have at most so many bytes (or rows of a known width).
-BROADCAST_BYTES = 64 << 20
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once for each application, and keep Arrow batches small."""
@@ -29,11 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if ``rows`` of ``row_bytes`` stay within ``limit``; else unchanged, so a shuffle join (split by AQE where it is skewed) is planned."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` does that for texts without other letters; it is much faster than ``translate``."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
