@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: The first millisecond of the id clock, and the bits below the clock.
 CLOCK_START_MS = 1288834974657
 CLOCK_BITS = 22
@@ -42,8 +44,7 @@ def _same_length(lo: Column, hi: Column, most: int) -> Column:
     """Prefixes of the greatest length at which at most ``most`` of them reach from ``lo`` to ``hi``, two strings of one length."""
     lengths = F.sequence(F.length(lo), F.lit(1), F.lit(-1))
     fits = F.filter(lengths, lambda k: (_head(hi, k) - _head(lo, k) < most) | (k == 1))
-    k = F.element_at(fits, 1)
-    return F.transform(F.sequence(_head(lo, k), _head(hi, k)), lambda p: F.lpad(p.cast("string"), k, "0"))
+    return let(F.element_at(fits, 1), lambda k: F.transform(F.sequence(_head(lo, k), _head(hi, k)), lambda p: F.lpad(p.cast("string"), k, "0")))
 
 
 def prefix_cover(a: Column, b: Column, most: int = MAX_PREFIXES) -> Column:
@@ -52,17 +53,17 @@ def prefix_cover(a: Column, b: Column, most: int = MAX_PREFIXES) -> Column:
     A range over several lengths is covered length by length; if those are too many, all lose as many last digits as
     it takes. A prefix also admits ids outside the range, so the range stays the exact test.
     """
-    lo, hi = F.least(a, b), F.greatest(a, b)
-    text_lo, text_hi = lo.cast("string"), hi.cast("string")
-    per_length = F.transform(
-        F.sequence(F.length(text_lo), F.length(text_hi)),
-        lambda n: _same_length(
-            F.when(n == F.length(text_lo), text_lo).otherwise(F.rpad(F.lit("1"), n, "0")),
-            F.when(n == F.length(text_hi), text_hi).otherwise(F.rpad(F.lit("9"), n, "9")),
-            most,
-        ),
-    )
-    spread = F.array_distinct(F.flatten(per_length))
-    shorter = lambda cut: F.array_distinct(F.transform(spread, lambda p: F.substring(p, F.lit(1), F.greatest(F.length(p) - cut, F.lit(1)))))
-    cut = F.element_at(F.filter(F.sequence(F.lit(0), F.lit(24)), lambda c: (F.size(shorter(c)) <= most) | (c == 24)), 1)
-    return F.when(lo == hi, F.array(text_lo)).when(F.length(text_lo) == F.length(text_hi), _same_length(text_lo, text_hi, most)).otherwise(shorter(cut))
+
+    def cover(r: Column) -> Column:
+        lo, hi = r["lo"], r["hi"]
+        per_length = F.transform(
+            F.sequence(F.length(lo), F.length(hi)),
+            lambda n: _same_length(F.when(n == F.length(lo), lo).otherwise(F.rpad(F.lit("1"), n, "0")), F.when(n == F.length(hi), hi).otherwise(F.rpad(F.lit("9"), n, "9")), most),
+        )
+        return F.when(lo == hi, F.array(lo)).when(F.length(lo) == F.length(hi), _same_length(lo, hi, most)).otherwise(let(F.array_distinct(F.flatten(per_length)), shortened))
+
+    def shortened(all_: Column) -> Column:
+        shorter = lambda cut: F.array_distinct(F.transform(all_, lambda p: F.substring(p, F.lit(1), F.greatest(F.length(p) - cut, F.lit(1)))))
+        return let(F.element_at(F.filter(F.sequence(F.lit(0), F.lit(24)), lambda c: (F.size(shorter(c)) <= most) | (c == 24)), 1), shorter)
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.struct(F.least(a, b).cast("string").alias("lo"), F.greatest(a, b).cast("string").alias("hi")), cover))

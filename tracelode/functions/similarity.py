@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textnorm import normalize_folded, normalize_text
+from .binding import let
+from .textnorm import normal_forms
 
 #: Fixed values of the score.
 PARTIAL_WEIGHT, TOKEN_WEIGHT = 0.92, 0.85
@@ -16,11 +15,6 @@ CONTEXT_CAP, TIME_CAP = 0.6, 0.74
 MOST_WINDOWS = 400
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once a row. A plain reference would be inlined, and computed again, at each use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def full_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length."""
     longer = F.greatest(F.length(a), F.length(b)).cast("double")
@@ -63,13 +57,8 @@ def number_tokens(text: Column) -> Column:
 
 def numbers_differ(a: Column, b: Column) -> Column:
     """Only when both texts have numbers: a digit misread as a letter is no change of number."""
-    na, nb = number_tokens(a), number_tokens(b)
-    return (F.size(na) > 0) & (F.size(nb) > 0) & (na != nb)
-
-
-def normal_forms(text: Column, compatibility: bool = True) -> Column:
-    """struct(plain, folded): what of a text is compared. Worth computing once for a text that is compared often."""
-    return F.struct(normalize_text(text, compatibility).alias("plain"), normalize_folded(text, compatibility).alias("folded"))
+    both = F.struct(number_tokens(a).alias("a"), number_tokens(b).alias("b"))
+    return let(both, lambda n: (F.size(n["a"]) > 0) & (F.size(n["b"]) > 0) & (n["a"] != n["b"]))
 
 
 def paired(a: Column, b: Column) -> Column:
@@ -90,12 +79,14 @@ def raw_similarity(p: Column) -> Column:
 
 
 def _capped(p: Column, raw: Column) -> Column:
-    differ = numbers_differ(p["pa"], p["pb"])
-    by_number = differ & (raw > NUMBER_CAP)
-    first = F.when(by_number, NUMBER_CAP).otherwise(raw)
-    by_length = (F.least(F.length(p["pa"]), F.length(p["pb"])) < SHORT_LENGTH) & (first > SHORT_CAP)
-    why = F.concat_ws("+", F.when(by_number, "number"), F.when(by_length, "length"))
-    return F.struct(raw.alias("raw"), F.when(by_length, SHORT_CAP).otherwise(first).alias("score"), F.nullif(why, F.lit("")).alias("capped_by"), differ.alias("number_mismatch"))
+    def caps(differ: Column) -> Column:
+        by_number = differ & (raw > NUMBER_CAP)
+        first = F.when(by_number, NUMBER_CAP).otherwise(raw)
+        by_length = (F.least(F.length(p["pa"]), F.length(p["pb"])) < SHORT_LENGTH) & (first > SHORT_CAP)
+        why = F.concat_ws("+", F.when(by_number, "number"), F.when(by_length, "length"))
+        return F.struct(raw.alias("raw"), F.when(by_length, SHORT_CAP).otherwise(first).alias("score"), F.nullif(why, F.lit("")).alias("capped_by"), differ.alias("number_mismatch"))
+
+    return let(numbers_differ(p["pa"], p["pb"]), caps)
 
 
 def compare(p: Column) -> Column:

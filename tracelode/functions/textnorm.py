@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scratch import ship
+from .binding import let
 
 #: Link forms, invisible characters, and marks that are folded together.
 _SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -38,19 +39,34 @@ def nfkc(text: Column) -> Column:
 
 
 def _base(text: Column, compatibility: bool) -> Column:
-    out = F.lower(nfkc(text) if compatibility else text)
-    for link in LINKS:
-        out = F.regexp_replace(out, link, " ")
-    out = F.regexp_replace(out, INVISIBLE, "")
-    for pattern, mark in FOLDS:
-        out = F.regexp_replace(out, pattern, mark)
-    return out
+    """Lower-cased, without links and invisible characters, quotes and dashes folded. Each step runs only on texts that may need it."""
+
+    def unlinked(t: Column) -> Column:
+        out = t
+        for link in LINKS:
+            out = F.regexp_replace(out, link, " ")
+        return F.when(t.contains("://") | t.contains("t.co/") | t.contains("pic."), out).otherwise(t)
+
+    def folded(t: Column) -> Column:
+        out = F.regexp_replace(t, INVISIBLE, "")
+        for pattern, mark in FOLDS:
+            out = F.regexp_replace(out, pattern, mark)
+        return F.when(F.length(t) == F.octet_length(t), t).otherwise(out)  # ASCII marks go with all other marks
+
+    return let(let(F.lower(nfkc(text) if compatibility else text), unlinked), folded)
 
 
 def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, OTHER, " "))
 
 
+def _lookalikes(text: Column) -> Column:
+    """Glyphs that are misread for each other made one, before marks go: ``r-n`` is no ``m``."""
+    for pair, one in PAIRS:
+        text = F.replace(text, F.lit(pair), F.lit(one))
+    return F.translate(text, *LOOKALIKES)
+
+
 def normalize_text(text: Column, compatibility: bool = True) -> Column:
     """Letters and digits only, lower-cased, words apart by single spaces, links gone.
 
@@ -61,8 +77,10 @@ def normalize_text(text: Column, compatibility: bool = True) -> Column:
 
 
 def normalize_folded(text: Column, compatibility: bool = True) -> Column:
-    """The same with glyphs that are misread for each other made one, before marks go: ``r-n`` is no ``m``."""
-    out = _base(text, compatibility)
-    for pair, one in PAIRS:
-        out = F.replace(out, F.lit(pair), F.lit(one))
-    return _words(F.translate(out, *LOOKALIKES))
+    """The same with glyphs that are misread for each other made one."""
+    return _words(_lookalikes(_base(text, compatibility)))
+
+
+def normal_forms(text: Column, compatibility: bool = True) -> Column:
+    """struct(plain, folded): what of a text is compared. Worth computing once for a text that is compared often."""
+    return let(_base(text, compatibility), lambda t: F.struct(_words(t).alias("plain"), _words(_lookalikes(t)).alias("folded")))

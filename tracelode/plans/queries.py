@@ -517,7 +517,8 @@ def _requests(spark, sf_dir):
 
 
 def _attestations(spark, sf_dir):
-    texts = A.pages(spark, sf_dir).select("snapshot_ts", "url", htmlpost.extract_post(F.col("html")).alias("post"))
+    asked = _requests(spark, sf_dir).select("snapshot_ts", F.col("original_url").alias("url"))
+    texts = evidence.page_texts(A.pages(spark, sf_dir), asked)
     return store.issue(_requests(spark, sf_dir), texts, now_ms=1_700_000_000_000)
 
 
