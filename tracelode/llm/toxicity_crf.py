@@ -6,7 +6,7 @@ the likelihood ratio is ``sure`` or more makes tokens toxic where a toxic docume
 
 Field. Two states. A token's potential has a bias, a weight of its best trait's evidence and a weight of that trait
 itself; a transition matrix links neighbours. Training maximises the likelihood of windows of the
-labelled documents with exact forward-backward gradients. Scoring runs forward-backward over each whole text: with
+labelled documents with exact forward-backward gradients; the last window of a text is padded and its padding masked. Scoring runs forward-backward over each whole text: with
 two states the messages are ratios, one number a token, so many texts advance together.
 
 Document score. A logistic curve over the greatest marginal, the expected number of toxic tokens and their share, fitted
@@ -90,13 +90,17 @@ def forward_backward(potential: np.ndarray, moves: np.ndarray, lengths: np.ndarr
     return out
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, evidence: np.ndarray, kinds: int, rounds: int = 150, ridge: float = 1e-3) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """Bias, weight of the evidence, weights of traits and moves from windows (texts by tokens) of trait numbers ``x`` (0: none) and labels ``y``."""
+def fit_field(x: np.ndarray, y: np.ndarray, evidence: np.ndarray, kinds: int, rounds: int = 150, ridge: float = 1e-3, lengths: np.ndarray | None = None) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Bias, weight of the evidence, weights of traits and moves from windows (texts by tokens) of trait numbers ``x`` (0: none) and labels ``y``.
+
+    Of each window the first ``lengths`` tokens count (all by default); what follows them is padding.
+    """
     theta = np.zeros(2 + kinds + 4)
     theta[0], theta[1] = -4.0, 1.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     n, width = x.shape
-    same = np.stack([(y[:, :-1] == i) & (y[:, 1:] == j) for i in (0, 1) for j in (0, 1)]).sum(axis=(1, 2))
+    real = np.arange(width) < (np.full(n, width) if lengths is None else lengths)[:, None]
+    same = np.stack([(y[:, :-1] == i) & (y[:, 1:] == j) & real[:, 1:] for i in (0, 1) for j in (0, 1)]).sum(axis=(1, 2))
     value = evidence[x]
     for step in range(1, rounds + 1):
         e = np.exp(np.clip(theta[0] + theta[1] * value + theta[2 + x], -30, 30)).T
@@ -114,11 +118,12 @@ def fit_field(x: np.ndarray, y: np.ndarray, evidence: np.ndarray, kinds: int, ro
             if t:
                 w0, w1 = b0, b1 * e[t]
                 joint = np.stack([f0[t - 1] * a[0, 0] * w0, f0[t - 1] * a[0, 1] * w1, f1[t - 1] * a[1, 0] * w0, f1[t - 1] * a[1, 1] * w1])
-                pairs += (joint / joint.sum(axis=0)).sum(axis=1)
+                here = real[:, t]
+                pairs += (joint / joint.sum(axis=0))[:, here].sum(axis=1)
                 b0, b1 = a[0, 0] * w0 + a[0, 1] * w1, a[1, 0] * w0 + a[1, 1] * w1
                 scale = b0 + b1
-                b0, b1 = b0 / scale, b1 / scale
-        diff = y - p.T
+                b0, b1 = np.where(here, b0 / scale, 1.0), np.where(here, b1 / scale, 1.0)
+        diff = np.where(real, y - p.T, 0.0)
         gradient = np.concatenate([[diff.sum(), (diff * value).sum()], np.bincount(x.ravel(), weights=diff.ravel(), minlength=kinds), same - pairs]) / n - ridge * theta
         gradient[2] = 0.0  # tokens without a trait have the bias alone
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
@@ -159,19 +164,20 @@ def train(docs: list[np.ndarray], y: np.ndarray, value: dict[int, float], sure:
         model.curve[0] = 0.0 if not len(y) else (5.0 if bad else -5.0)
         return model
     strength = np.array([0.0, *value.values()])
-    x, tags = [], []
+    x, tags, lengths = [], [], []
     for d, label in zip(docs, y):
-        n = len(d) // WIDTH
-        x.append(d[: n * WIDTH].reshape(n, WIDTH))
+        n = -(-len(d) // WIDTH)
+        x.append(np.pad(d, (0, n * WIDTH - len(d))).reshape(n, WIDTH))
         tags.append((strength[x[-1]] >= sure) & (label == 1))
-    x, tags = np.concatenate(x), np.concatenate(tags)
+        lengths.append(np.minimum(len(d) - WIDTH * np.arange(n), WIDTH))
+    x, tags, lengths = np.concatenate(x), np.concatenate(tags), np.concatenate(lengths)
     potential = np.full(len(strength), model.other)
     if len(x):
         # Windows with a toxic token come first, then others at random.
         rng = np.random.default_rng(seed)
         hot = tags.any(axis=1)
         pick = np.concatenate([rng.permutation(np.flatnonzero(hot)), rng.permutation(np.flatnonzero(~hot))])[:windows]
-        bias, weight, own, model.moves = fit_field(x[pick].astype(np.int64), tags[pick].astype(np.int64), strength / 4, len(strength))
+        bias, weight, own, model.moves = fit_field(x[pick].astype(np.int64), tags[pick].astype(np.int64), strength / 4, len(strength), lengths=lengths[pick])
         potential = bias + weight * strength / 4 + own
         model.traits, model.other = dict(zip(value, potential[1:].tolist())), bias
     model.curve = fit_curve(summary(marginals([potential[d] for d in docs], model.moves)), y)
