@@ -89,8 +89,8 @@ def test_field_gradient_learns_neighbours():
         x[i, at : at + 3], y[i, at : at + 3] = [1, 2, 1], 1
     for i in range(1, 300, 2):
         x[i, rng.integers(0, 64)] = 2
-    bias, weight, own, moves = toxicity_crf.fit_field(x, y, np.array([0.0, 2.0, 0.5]), 3)
-    potential = lambda row: bias + weight * np.array([0.0, 2.0, 0.5])[row] + own[row]
+    bias, own, moves = toxicity_crf.fit_field(x, y, np.arange(3)[:, None], 2)
+    potential = lambda row: bias + own[row]
     beside = toxicity_crf.forward_backward(potential(np.array([0, 0, 1, 2, 1, 0]))[:, None], moves, np.array([6]))[:, 0]
     alone = toxicity_crf.forward_backward(potential(np.array([0, 0, 0, 2, 0, 0]))[:, None], moves, np.array([6]))[:, 0]
     assert beside[3] > 0.9 and alone[3] < 0.5 and beside[0] < 0.1

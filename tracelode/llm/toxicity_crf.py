@@ -1,19 +1,23 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
 Token labels. Labels are of documents, so tokens are labelled from them. A token has traits: its word, beginnings and
-endings. A trait that stands in labelled toxic documents so much more often than in clean ones that the signed root of
-the likelihood ratio is ``sure`` or more makes tokens toxic where a toxic document has them; all others are clean.
+endings. The evidence of a trait is the signed root of the likelihood ratio of standing in toxic and clean documents. Where
+that of one of a token's traits is beyond what the best of so many has by chance (``chance``), the token is toxic if its
+document is; all other tokens are clean.
 
-Field. Two states. A token's potential has a bias, a weight of its best trait's evidence and a weight of that trait
-itself; a transition matrix links neighbours. Training maximises the likelihood of windows of the
-labelled documents with exact forward-backward gradients; the last window of a text is padded and its padding masked. Scoring runs forward-backward over each whole text: with
-two states the messages are ratios, one number a token, so many texts advance together.
+Field. Two states. A token's potential has a bias and the sum of its traits' weights, so that a word that shares but a
+beginning with a toxic one gets a part of its weight; a transition matrix links neighbours. Training maximises the likelihood of windows of the labelled documents with
+exact forward-backward gradients; the last window of a text is padded and its padding masked. Half of the windows are drawn from
+those that hold a trait beyond chance, in toxic documents or clean ones, half from the rest, and each half is weighed as it stands in
+all, so the field learns the same whichever share of the windows has such traits. Scoring runs forward-backward over each whole
+text: with two states the messages are ratios, one number a token, so many texts advance together.
 
 Document score. A logistic curve over the greatest marginal, the expected number of toxic tokens and their share, fitted
 on the labelled documents. Spans are runs of tokens with a marginal of 0.5 or more, as offsets in code points.
 
-At most ``most`` labelled rows are used (those of the lowest hash), and ``windows`` windows of them. Their traits are
-counted on the executors; the driver gets counts, and a 16-bit number for each token of those rows.
+Bounds, all of them on what is learnt from: at most ``most`` labelled rows (those of the lowest hash), ``windows`` windows of them,
+and of the traits in ``least`` toxic documents or more the ``kinds`` of greatest evidence. Traits are
+counted on the executors; the driver gets counts, and of each token of those rows the 16-bit numbers of its known traits.
 
 Defined results. Null or empty text: no tokens, scored as such, no spans. Null doc_id: belongs to the fold of the empty
 text's crc32; it has no label. Null label: not used. Repeated rows: each is scored. No toxic labels: nothing is tagged and all
@@ -56,13 +60,13 @@ def traits(word: bytes) -> list[int]:
 class Field:
     """What scoring needs: potentials of traits, transitions, and the document's curve."""
 
-    traits: dict[int, float] = field(default_factory=dict)  # potential of known traits (toxic against clean)
-    other: float = -12.0  # of a token without any
+    traits: dict[int, float] = field(default_factory=dict)  # weights of known traits (toxic against clean)
+    other: float = -12.0  # potential of a token without any
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))  # log potentials from state to state
     curve: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0.0, 0.0, 0.0]))
 
     def potential(self, word: bytes) -> float:
-        return max((self.traits[t] for t in traits(word) if t in self.traits), default=self.other)
+        return self.other + sum(self.traits.get(t, 0.0) for t in traits(word))
 
 
 def forward_backward(potential: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -90,20 +94,21 @@ def forward_backward(potential: np.ndarray, moves: np.ndarray, lengths: np.ndarr
     return out
 
 
-def fit_field(x: np.ndarray, y: np.ndarray, evidence: np.ndarray, kinds: int, rounds: int = 150, ridge: float = 1e-3, lengths: np.ndarray | None = None) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """Bias, weight of the evidence, weights of traits and moves from windows (texts by tokens) of trait numbers ``x`` (0: none) and labels ``y``.
+def fit_field(x: np.ndarray, y: np.ndarray, traits_of: np.ndarray, count: int, rounds: int = 150, ridge: float = 1e-3, lengths: np.ndarray | None = None, weights: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights of traits 0 to ``count`` and moves from windows (texts by tokens) of token kinds ``x`` and labels ``y``.
 
-    Of each window the first ``lengths`` tokens count (all by default); what follows them is padding.
+    ``traits_of``: of each kind its traits' numbers, filled up with 0, which stands for none and weighs nothing. Of each window the first
+    ``lengths`` tokens count (all by default); what follows them is padding. A window counts ``weights`` times (once by default).
     """
-    theta = np.zeros(2 + kinds + 4)
-    theta[0], theta[1] = -4.0, 1.0
+    theta = np.zeros(2 + count + 4)
+    theta[0] = -4.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     n, width = x.shape
     real = np.arange(width) < (np.full(n, width) if lengths is None else lengths)[:, None]
-    same = np.stack([(y[:, :-1] == i) & (y[:, 1:] == j) & real[:, 1:] for i in (0, 1) for j in (0, 1)]).sum(axis=(1, 2))
-    value = evidence[x]
+    often = np.ones(n) if weights is None else weights
+    same = np.array([((y[:, :-1] == i) & (y[:, 1:] == j) & real[:, 1:]).sum(axis=1) @ often for i in (0, 1) for j in (0, 1)])
     for step in range(1, rounds + 1):
-        e = np.exp(np.clip(theta[0] + theta[1] * value + theta[2 + x], -30, 30)).T
+        e = np.exp(np.clip(theta[0] + theta[1 + traits_of].sum(axis=1), -30, 30))[x].T
         a = np.exp(theta[-4:].reshape(2, 2))
         f0, f1 = np.empty((width, n)), np.empty((width, n))
         f0[0], f1[0] = 1 / (1 + e[0]), e[0] / (1 + e[0])
@@ -119,16 +124,18 @@ def fit_field(x: np.ndarray, y: np.ndarray, evidence: np.ndarray, kinds: int, ro
                 w0, w1 = b0, b1 * e[t]
                 joint = np.stack([f0[t - 1] * a[0, 0] * w0, f0[t - 1] * a[0, 1] * w1, f1[t - 1] * a[1, 0] * w0, f1[t - 1] * a[1, 1] * w1])
                 here = real[:, t]
-                pairs += (joint / joint.sum(axis=0))[:, here].sum(axis=1)
+                pairs += (joint / joint.sum(axis=0)) @ (often * here)
                 b0, b1 = a[0, 0] * w0 + a[0, 1] * w1, a[1, 0] * w0 + a[1, 1] * w1
                 scale = b0 + b1
                 b0, b1 = np.where(here, b0 / scale, 1.0), np.where(here, b1 / scale, 1.0)
-        diff = np.where(real, y - p.T, 0.0)
-        gradient = np.concatenate([[diff.sum(), (diff * value).sum()], np.bincount(x.ravel(), weights=diff.ravel(), minlength=kinds), same - pairs]) / n - ridge * theta
-        gradient[2] = 0.0  # tokens without a trait have the bias alone
+        diff = np.where(real, y - p.T, 0.0) * often[:, None]
+        of_kind = np.bincount(x.ravel(), weights=diff.ravel(), minlength=len(traits_of))
+        of_trait = np.bincount(traits_of.ravel(), weights=np.repeat(of_kind, traits_of.shape[1]), minlength=count + 1)
+        gradient = np.concatenate([[diff.sum()], of_trait, same - pairs]) / often.sum() - ridge * theta
+        gradient[1] = 0.0  # no trait
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         theta += 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    return float(theta[0]), float(theta[1]), theta[2:-4], theta[-4:].reshape(2, 2)
+    return float(theta[0]), theta[1:-4], theta[-4:].reshape(2, 2)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -142,9 +149,12 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+MEASURES = 3
+
+
 def summary(marginals: list[np.ndarray]) -> np.ndarray:
     """Of each text the greatest marginal, the log of the expected toxic tokens plus one, and the root of their share."""
-    return np.array([[m.max(), np.log1p(m.sum()), np.sqrt(m.mean())] if len(m) else [0.0, 0.0, 0.0] for m in marginals]).reshape(-1, 3)
+    return np.array([[m.max(), np.log1p(m.sum()), np.sqrt(m.mean())] if len(m) else [0.0] * MEASURES for m in marginals]).reshape(-1, MEASURES)
 
 
 def evidence(in_bad: np.ndarray, in_good: np.ndarray, bad: int, good: int) -> np.ndarray:
@@ -156,30 +166,40 @@ def evidence(in_bad: np.ndarray, in_good: np.ndarray, bad: int, good: int) -> np
     return np.sqrt(np.maximum(g, 0.0)) * np.sign(in_bad - expected_bad)
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, value: dict[int, float], sure: float = 6.5, windows: int = 10_000, seed: int = 7) -> Field:
-    """A field from labelled documents, each given by the numbers of its tokens' best traits: k for the k-th of ``value`` (trait: evidence), 0 for none."""
-    model = Field()
+def chance(tested: int) -> float:
+    """Evidence that the best of so many traits without bearing hardly reaches: a normal maximum, and one more for traits that go together."""
+    return float(np.sqrt(2 * np.log(max(tested, 2)))) + 1
+
+
+def train(docs: list[np.ndarray], y: np.ndarray, value: dict[int, float], traits_of: np.ndarray | None = None, sure: float = 6.5, windows: int = 10_000, seed: int = 7) -> Field:
+    """A field from labelled documents, each given by the kinds of its tokens, and the numbers of each kind's traits (by default a kind is a trait): k for the k-th of ``value`` (trait: evidence), 0 for none.
+
+    A trait of evidence ``sure`` or more makes tokens of toxic documents toxic.
+    """
     bad, good = int((y == 1).sum()), int((y == 0).sum())
     if not bad or not good:
-        model.curve[0] = 0.0 if not len(y) else (5.0 if bad else -5.0)
-        return model
-    strength = np.array([0.0, *value.values()])
+        return Field(curve=np.array([0.0 if not len(y) else (5.0 if bad else -5.0), *np.zeros(MEASURES)]))
+    traits_of = np.arange(len(value) + 1)[:, None] if traits_of is None else traits_of
+    strong = (np.array([0.0, *value.values()]) >= sure)[traits_of].any(axis=1)
     x, tags, lengths = [], [], []
     for d, label in zip(docs, y):
         n = -(-len(d) // WIDTH)
         x.append(np.pad(d, (0, n * WIDTH - len(d))).reshape(n, WIDTH))
-        tags.append((strength[x[-1]] >= sure) & (label == 1))
+        tags.append(strong[x[-1]] & (label == 1))
         lengths.append(np.minimum(len(d) - WIDTH * np.arange(n), WIDTH))
     x, tags, lengths = np.concatenate(x), np.concatenate(tags), np.concatenate(lengths)
-    potential = np.full(len(strength), model.other)
+    model, potential = Field(), np.full(len(traits_of), Field.other)
     if len(x):
-        # Windows with a toxic token come first, then others at random.
         rng = np.random.default_rng(seed)
-        hot = tags.any(axis=1)
-        pick = np.concatenate([rng.permutation(np.flatnonzero(hot)), rng.permutation(np.flatnonzero(~hot))])[:windows]
-        bias, weight, own, model.moves = fit_field(x[pick].astype(np.int64), tags[pick].astype(np.int64), strength / 4, len(strength), lengths=lengths[pick])
-        potential = bias + weight * strength / 4 + own
-        model.traits, model.other = dict(zip(value, potential[1:].tolist())), bias
+        hot = strong[x].any(axis=1)
+        kinds = [rng.permutation(np.flatnonzero(hot)), rng.permutation(np.flatnonzero(~hot))]
+        taken = min(len(kinds[0]), max(windows // 2, windows - len(kinds[1])))
+        parts = [kinds[0][:taken], kinds[1][: windows - taken]]
+        pick = np.concatenate(parts)
+        weights = np.concatenate([np.full(len(p), len(k) / max(len(p), 1)) for p, k in zip(parts, kinds)])
+        bias, own, moves = fit_field(x[pick], tags[pick].astype(np.int64), traits_of, len(value), lengths=lengths[pick], weights=weights)
+        potential = bias + own[traits_of].sum(axis=1)
+        model = Field(dict(zip(value, own[1:].tolist())), bias, moves)
     model.curve = fit_curve(summary(marginals([potential[d] for d in docs], model.moves)), y)
     return model
 
@@ -251,30 +271,51 @@ def _trait_counts(known: np.ndarray | None):
 
 
 def _trait_numbers(value: dict[int, float]):
-    """Of each document the numbers of its tokens' best traits."""
+    """Of each document how many known traits each token has, and their numbers one after the other."""
     number = {t: k + 1 for k, t in enumerate(value)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        seen: dict[bytes, list[int]] = {}
         for batch in common.sub_batches(batches):
-            out = []
+            many, numbers = [], []
             for text in common.texts(batch.column("text")):
                 words = text.lower().split()
                 for w in set(words).difference(seen):
-                    seen[w] = number[max((t for t in traits(w) if t in value), key=value.__getitem__)] if any(t in value for t in traits(w)) else 0
-                out.append(np.fromiter(map(seen.__getitem__, words), dtype=np.int16, count=len(words)))
+                    seen[w] = sorted(number[t] for t in traits(w) if t in number)
+                found = [seen[w] for w in words]
+                many.append(np.fromiter(map(len, found), dtype=np.int8, count=len(found)))
+                numbers.append(np.array([k for f in found for k in f], dtype=np.int16))
             if len(seen) > 400_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.list_(pa.int16()))], names=["y", "numbers"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(many, pa.list_(pa.int8())), pa.array(numbers, pa.list_(pa.int16()))], names=["y", "many", "numbers"])
 
     return run
 
 
-def toxic_traits(sample: DataFrame, kinds: int = 5000) -> dict[int, float]:
-    """The traits of greatest evidence in ``sample`` (text, y). They are counted on the executors: first in toxic documents, then, those in three or more, in clean ones."""
+def token_kinds(many: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens with so many traits each, whose numbers stand one after the other: the kind of each token, and the traits of each kind (tokens of the same traits are of one kind, 0 has none)."""
+    kind = np.zeros(len(many), dtype=np.int32)
+    have = np.flatnonzero(many)
+    n = many[have].astype(np.int64)
+    if not len(have):
+        return kind, np.zeros((1, 1), dtype=np.int64)
+    start = np.cumsum(n) - n
+    mix = (numbers.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mix = (mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    _, first, at = np.unique(np.add.reduceat(mix ^ (mix >> np.uint64(32)), start), return_index=True, return_inverse=True)
+    kind[have] = at + 1
+    traits_of = np.zeros((len(first) + 1, int(n.max())), dtype=np.int64)
+    for k in range(traits_of.shape[1]):
+        longer = np.flatnonzero(n[first] > k)
+        traits_of[longer + 1, k] = numbers[start[first[longer]] + k]
+    return kind, traits_of
+
+
+def toxic_traits(sample: DataFrame, kinds: int = 5000, least: int = 3) -> tuple[dict[int, float], int]:
+    """The traits of greatest evidence in ``sample`` (text, y), and among how many they are. They are counted on the executors: first in toxic documents, then, those in ``least`` or more, in clean ones."""
     count = lambda label, known: sample.where(F.col("y") == label).select("text").mapInArrow(_trait_counts(known), "trait long, n long").groupBy("trait").agg(F.sum("n").alias("n"))
     totals = dict(sample.groupBy("y").count().collect())
-    bad = count(1, None).where("n >= 3").toArrow()
+    bad = count(1, None).where(F.col("n") >= least).toArrow()
     names = bad.column("trait").to_numpy().view(np.uint64)
     order = np.argsort(names)
     names, in_bad = names[order], bad.column("n").to_numpy()[order].astype(np.float64)
@@ -284,7 +325,7 @@ def toxic_traits(sample: DataFrame, kinds: int = 5000) -> dict[int, float]:
         in_good[np.searchsorted(names, good.column("trait").to_numpy().view(np.uint64))] = good.column("n").to_numpy()
     root = evidence(in_bad, in_good, totals.get(1, 0), totals.get(0, 0))
     best = np.argsort(-root, kind="stable")[:kinds]
-    return {int(names[i]): float(root[i]) for i in best if root[i] > 0}
+    return {int(names[i]): float(root[i]) for i in best if root[i] > 0}, len(names)
 
 
 _OUT = "doc_id long, held_out boolean, score double, spans array<struct<start:long,end:long>>"
@@ -309,16 +350,19 @@ def _score(model: Field, memory: int = 400_000):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, windows: int = 10_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 20_000, windows: int = 10_000, kinds: int = 5000, least: int = 3) -> DataFrame:
     """A row for each document: doc_id, held_out, score, predicted (score >= 0.5), spans (start, end)."""
     common.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = common.stage(rows.join(labelled(labels, label, most), "doc_id").select("y", "text"), "toxicity-sample")
-    value = toxic_traits(sample)
-    coded = sample.mapInArrow(_trait_numbers(value), "y int, numbers array<short>").toArrow()
-    numbers = coded.column("numbers").combine_chunks()
-    flat, at = numbers.flatten().to_numpy(), numbers.offsets.to_numpy() - numbers.offsets[0].as_py() if len(numbers) else np.zeros(1, np.int64)
-    model = train([flat[a:b] for a, b in zip(at[:-1], at[1:])], coded.column("y").to_numpy(), value, windows=windows)
+    if sample.count() > most:  # ids repeat
+        sample = common.stage(sample.limit(most), "toxicity-sample")
+    value, tested = toxic_traits(sample, kinds, least)
+    coded = sample.mapInArrow(_trait_numbers(value), "y int, many array<byte>, numbers array<short>").toArrow().combine_chunks()
+    many, numbers = (coded.column(c).combine_chunks() for c in ("many", "numbers"))
+    kind, traits_of = token_kinds(many.flatten().to_numpy(), numbers.flatten().to_numpy())
+    cuts = np.cumsum(np.concatenate([[0], many.value_lengths().to_numpy()])).tolist()
+    model = train([kind[a:b] for a, b in zip(cuts, cuts[1:])], coded.column("y").to_numpy(), value, traits_of, chance(tested), windows)
     held = rows.withColumn("held_out", common.fold_of(F.col("doc_id")) == 0)
     scored = held.mapInArrow(_score(model), _OUT)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
