@@ -56,6 +56,20 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str = "text", most: i
                 yield batch.slice(a, b - a)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``__tl_row``, a number of each row that stays the same whenever the result is read.
+
+    A table just read from files is taken as it is: a row's number is that of its file and its place there. Anything else is written first.
+    """
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or not docs.inputFiles():
+        return stage(docs.withColumn("__tl_row", F.monotonically_increasing_id()), name)
+    paths = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+    files = docs.sparkSession.range(1).select(F.posexplode(F.lit(paths)).alias("__tl_file", "__tl_path")).withColumn("__tl_file", F.col("__tl_file").cast("long"))
+    files = bounded_broadcast(files, len(paths), 512)
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_metadata.file_path").alias("__tl_path"), F.col("_metadata.row_index").alias("__tl_index"))
+    return rows.join(files, "__tl_path").select(*(F.col(f"`{c}`") for c in docs.columns), (F.shiftleft("__tl_file", 40) + F.col("__tl_index")).alias("__tl_row"))
+
+
 def partition_index() -> int:
     from pyspark import TaskContext
 
