@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds instead of fixed cutoffs.
 
-Each text gets a few ratios. For each (lang, source) a mergeable KLL sketch of each ratio gives its median and an outer
-quantile; a ratio further than ``spread`` times that distance (and at least a floor) from the median fails. Only the
-half of the distribution on the good side sets the scale, so a group keeps its threshold while under half of it is
-junk. A group below ``least`` rows takes the merged sketch of its language, and a small language the sketch of
-all. Documents join their group's thresholds and are filtered.
+Each text gets a few shares, of symbols among characters for one, on a scale on which a share of n things varies by chance
+with the same deviation whatever it is, 1 / (2 sqrt(n)). For each (lang, source) a mergeable KLL sketch of each share gives its
+median and a lower quantile, and their distance the deviation within the group. A text whose share lies further than ``spread``
+times both deviations (the group's and its own by chance, added as variances) from the median fails. There is no fixed bound: where
+most texts of a group have none of a thing, the sketches say how near none is, and a short text must differ by more. Only the
+lower side of the distribution sets the scale, so a group keeps its threshold while under half of it is junk. A group below ``least`` rows takes the
+merged sketch of its language, and a small language the sketch of all. Documents join their group's thresholds and are filtered.
 
 Defined results. Null or empty text: no words, so ``base_failed``. Null lang or source: a group of its own. Null
 doc_id and repeated rows: each row is judged. Empty table: no rows. Other columns stay as they are; names of this
@@ -14,7 +16,6 @@ module begin with ``__tl_``.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -30,14 +31,16 @@ SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_adjacent")
 
-#: Ratio, side on which it is junk, outer quantile of the good side, least distance from the median that can fail.
+#: Share: what is counted, among how many, side on which it is junk. The length of words is no share; its root varies like one.
 RULES = {
-    "symbol_ratio": ("above", 0.02, 0.1),
-    "mean_word_length": ("both", 0.02, 2.0),
-    "dup_line_ratio": ("above", 0.02, 0.5),
-    "adjacent_ratio": ("above", 0.02, 0.1),
-    "upper_ratio": ("above", 0.02, 0.2),
+    "symbol_share": ("n_symbols", "word_chars", "above"),
+    "word_length": ("word_chars", "n_words", "both"),
+    "dup_line_share": ("n_dup_lines", "n_lines", "above"),
+    "adjacent_share": ("n_adjacent", "n_words", "above"),
+    "upper_share": ("n_upper", "word_chars", "above"),
 }
+#: The lower quantile that sets a group's scale, and how many deviations below the median it is in a normal distribution.
+OUTER, OUTER_DEVIATIONS = 0.02, 2.0537489
 
 
 def text_counts(text: bytes) -> tuple[int, ...]:
@@ -74,35 +77,24 @@ def text_counts(text: bytes) -> tuple[int, ...]:
     )
 
 
-def _add_counts(names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sub_batches(batches, "__tl_text"):
-            rows = [text_counts(x) for x in common.texts(batch.column("__tl_text"))]
-            counts = np.array(rows, dtype=np.int64).reshape(-1, len(_COUNTS))
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(kept + [pa.array(counts[:, i].copy()) for i in range(len(_COUNTS))], names=names + [f"__tl_{c}" for c in _COUNTS])
-
-    return run
+def _counts(texts: list[bytes]) -> list[pa.Array]:
+    counts = np.array([text_counts(x) for x in texts], dtype=np.int64).reshape(-1, len(_COUNTS))
+    return [pa.array(counts[:, i].copy()) for i in range(len(_COUNTS))]
 
 
 def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and the counts of its texts as ``__tl_<count>``."""
-    common.ship(docs.sparkSession)
-    names = docs.columns if keep is None else keep
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("__tl_text"))
-    fields = [rows.schema[c] for c in names] + [T.StructField(f"__tl_{c}", T.LongType()) for c in _COUNTS]
-    return rows.mapInArrow(_add_counts(names), T.StructType(fields))
+    return common.add_from_texts(docs, text_col, keep, [T.StructField(f"__tl_{c}", T.LongType()) for c in _COUNTS], _counts)
+
+
+def _total(of: str) -> Column:
+    return F.greatest(F.col(f"__tl_{of}"), F.lit(1)).cast("double")
 
 
-def _ratios() -> dict[str, Column]:
-    words = F.greatest(F.col("__tl_n_words"), F.lit(1)).cast("double")
-    return {
-        "symbol_ratio": F.col("__tl_n_symbols") / words,
-        "mean_word_length": F.col("__tl_word_chars") / words,
-        "dup_line_ratio": F.col("__tl_n_dup_lines") / F.greatest(F.col("__tl_n_lines"), F.lit(1)).cast("double"),
-        "adjacent_ratio": F.col("__tl_n_adjacent") / words,
-        "upper_ratio": F.col("__tl_n_upper") / F.greatest(F.col("__tl_word_chars"), F.lit(1)).cast("double"),
-    }
+def _shares() -> dict[str, Column]:
+    """Each share on the scale of even deviation: the angle of a share, the root of a mean count."""
+    angle = lambda a, n: F.asin(F.sqrt(F.least(F.lit(1.0), (F.col(f"__tl_{a}") + 0.375) / (_total(n) + 0.75))))
+    return {r: angle(a, n) if side == "above" else F.sqrt(F.col(f"__tl_{a}") / _total(n)) for r, (a, n, side) in RULES.items()}
 
 
 def base_failed(words: Column, repeated: Column) -> Column:
@@ -113,57 +105,60 @@ def _failed(counted: DataFrame) -> Column:
     return base_failed(F.col("__tl_n_words"), F.col("__tl_n_repeat_words"))
 
 
-def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", spread: float = 6.0, least: int = 200) -> DataFrame:
-    """One row for each (lang, source): the lowest and highest value of each ratio that passes.
+def thresholds(counted: DataFrame, lang: str = "lang", source: str = "source", least: int = 200) -> DataFrame:
+    """One row for each (lang, source): of each share the median and the variance within the group.
 
     Rows that ``base_failed`` don't count. Sketches are merged upwards: each group's into its language's, those into
     one of all, so documents are read once.
     """
-    ratios = _ratios()
-    good = counted.where(~_failed(counted)).select(F.col(f"`{lang}`").alias("__tl_lang"), F.col(f"`{source}`").alias("__tl_source"), *(c.alias(f"__tl_r_{r}") for r, c in ratios.items()))
-    groups = good.groupBy("__tl_lang", "__tl_source").agg(F.count("*").alias("__tl_n0"), *(F.expr(f"kll_sketch_agg_double(__tl_r_{r})").alias(f"__tl_s0_{r}") for r in ratios))
+    shares = _shares()
+    good = counted.where(~_failed(counted)).select(F.col(f"`{lang}`").alias("__tl_lang"), F.col(f"`{source}`").alias("__tl_source"), *(c.alias(f"__tl_r_{r}") for r, c in shares.items()))
+    groups = good.groupBy("__tl_lang", "__tl_source").agg(F.count("*").alias("__tl_n0"), *(F.expr(f"kll_sketch_agg_double(__tl_r_{r})").alias(f"__tl_s0_{r}") for r in shares))
     groups = common.stage(groups, "rules-sketches")
 
     def merged(df: DataFrame, level: int, by: list) -> DataFrame:
-        return df.groupBy(*by).agg(F.sum(f"__tl_n{level - 1}").alias(f"__tl_n{level}"), *(F.expr(f"kll_merge_agg_double(__tl_s{level - 1}_{r})").alias(f"__tl_s{level}_{r}") for r in ratios))
+        return df.groupBy(*by).agg(F.sum(f"__tl_n{level - 1}").alias(f"__tl_n{level}"), *(F.expr(f"kll_merge_agg_double(__tl_s{level - 1}_{r})").alias(f"__tl_s{level}_{r}") for r in shares))
 
     langs = merged(groups, 1, [F.col("__tl_lang").alias("__tl_of")])
-    whole = merged(langs, 2, []).first()  # one row: a sketch of each ratio
+    whole = merged(langs, 2, []).first()  # one row: a sketch of each share
     both = groups.join(langs, F.col("__tl_lang").eqNullSafe(F.col("__tl_of"))).drop("__tl_of")
-    both = both.withColumns({f"__tl_s2_{r}": F.lit(bytes(whole[f"__tl_s2_{r}"] or b"")) for r in ratios})
+    both = both.withColumns({f"__tl_s2_{r}": F.lit(bytes(whole[f"__tl_s2_{r}"] or b"")) for r in shares})
     out = []
-    for r, (side, outer, floor) in RULES.items():
+    for r in RULES:
         sketch = F.when(F.col("__tl_n0") >= least, F.col(f"__tl_s0_{r}")).when(F.col("__tl_n1") >= least, F.col(f"__tl_s1_{r}")).otherwise(F.col(f"__tl_s2_{r}"))
         both = both.withColumn(f"__tl_k_{r}", sketch)
         at = lambda q, r=r: F.expr(f"kll_sketch_get_quantile_double(__tl_k_{r}, {q}D)")
-        reach = F.greatest((at(0.5) - at(outer)) * spread, F.lit(float(floor)))
-        out += [(at(0.5) - reach if side == "both" else F.lit(float("-inf"))).alias(f"__tl_low_{r}"), (at(0.5) + reach).alias(f"__tl_high_{r}")]
+        out += [at(0.5).alias(f"__tl_mid_{r}"), F.pow((at(0.5) - at(OUTER)) / OUTER_DEVIATIONS, F.lit(2.0)).alias(f"__tl_var_{r}")]
     return both.select("__tl_lang", "__tl_source", *out)
 
 
-def judged(counted: DataFrame, lang: str = "lang", source: str = "source", spread: float = 6.0, least: int = 200) -> DataFrame:
-    """``counted``, which must be a written table, with ``__tl_base_failed``, ``__tl_kept`` and ``__tl_broken`` (the rules that a row breaks)."""
-    limits = common.stage(thresholds(counted, lang, source, spread, least), "rules-limits")
+def judged(counted: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", spread: float = 6.0) -> DataFrame:
+    """``counted`` with ``__tl_base_failed``, ``__tl_kept`` and ``__tl_broken`` (the rules that a row breaks). ``limits``: of ``thresholds``, written."""
     side = common.bounded_broadcast(limits, limits.count(), 256)
-    ratios = _ratios()
     joined = counted.join(side, F.col(f"`{lang}`").eqNullSafe(F.col("__tl_lang")) & F.col(f"`{source}`").eqNullSafe(F.col("__tl_source")), "left")
-    broken = F.filter(F.array(*(F.when((c < F.col(f"__tl_low_{r}")) | (c > F.col(f"__tl_high_{r}")), F.lit(r)) for r, c in ratios.items())), lambda x: x.isNotNull())
-    joined = joined.withColumn("__tl_base_failed", _failed(counted)).withColumn("__tl_broken", broken)
-    return joined.withColumn("__tl_kept", ~F.col("__tl_base_failed") & (F.size("__tl_broken") == 0)).drop("__tl_lang", "__tl_source", *(f"__tl_{x}_{r}" for r in ratios for x in ("low", "high")))
+    marks = []
+    for r, share in _shares().items():
+        _, n, on = RULES[r]
+        off = share - F.col(f"__tl_mid_{r}")
+        reach = F.sqrt(F.col(f"__tl_var_{r}") + 0.25 / (_total(n) + 0.5)) * spread
+        marks.append(F.when((F.abs(off) if on == "both" else off) > reach, F.lit(r)))
+    joined = joined.withColumn("__tl_base_failed", _failed(counted)).withColumn("__tl_broken", F.filter(F.array(*marks), lambda x: x.isNotNull()))
+    return joined.withColumn("__tl_kept", ~F.col("__tl_base_failed") & (F.size("__tl_broken") == 0)).drop("__tl_lang", "__tl_source", *(f"__tl_{x}_{r}" for r in RULES for x in ("mid", "var")))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, broken."""
     counted = common.stage(with_counts(docs, keep=["doc_id", "lang", "source"]), "rules-counts")
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken"]
-    return judged(counted).select("doc_id", *(F.col(f"__tl_{c}").alias(c) for c in shown))
+    return judged(counted, common.stage(thresholds(counted), "rules-limits")).select("doc_id", *(F.col(f"__tl_{c}").alias(c) for c in shown))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns. The counted rows are written once with their texts, so texts are parsed once and never shuffle."""
+    """The rows of ``docs`` that pass, with all their columns. Texts are counted twice, for the thresholds and then for the verdicts, so they are neither written nor shuffled."""
     names = docs.columns
-    counted = common.stage(with_counts(docs, text_col), "rules-counts")
-    return judged(counted, lang, source).where("__tl_kept").select(*(F.col(f"`{c}`") for c in names))
+    seen = common.stage(with_counts(docs, text_col, [lang, source]), "rules-counts")
+    limits = common.stage(thresholds(seen, lang, source), "rules-limits")
+    return judged(with_counts(docs, text_col), limits, lang, source).where("__tl_kept").select(*(F.col(f"`{c}`") for c in names))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
