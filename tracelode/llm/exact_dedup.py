@@ -9,10 +9,10 @@ equal: it passes straight through in pass 2. Only rows with both set, the possib
 digest after each task has combined its own, so a text with a third of all rows sends one row a task.
 
 The filter has 2 bytes a row. Up to BROADCAST_BYTES it is broadcast; beyond that the probe is a join on the filter's
-buckets, which shuffles instead.
+buckets, which shuffles digests, ids and numbers of rows, but never texts or other columns.
 
 Defined results. Of equal texts the row with the largest doc_id stays (null is smaller than any); among rows of the
-same doc_id one, and rows alike in all columns are interchangeable. Empty table: no rows. Columns are taken as they
+same doc_id the last as they stand in the files. Empty table: no rows. Columns of any name and type are taken as they
 are; names of this module begin with ``__tl_``.
 """
 
@@ -77,15 +77,16 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    names = docs.columns
-    digests = common.stage(docs.select(text_digest(F.col(text_col)).alias("__tl_digest")), "dedup-digests")
-    bits, cells = repeated_filter(digests, digests.count())
-    probed = _probe(docs.withColumn("__tl_digest", text_digest(F.col(text_col))), common.stage(bits, "dedup-filter"), cells, F.col("__tl_digest"))
-    alone = probed.where("NOT __tl_maybe").select(*names)
-    whole = F.struct(*(F.col(f"`{c}`") for c in names))
-    best = probed.where("__tl_maybe").groupBy("__tl_digest").agg(F.max_by(whole, F.struct(F.col(id_col), F.xxhash64(*(F.col(f"`{c}`") for c in names)))).alias("__tl_row"))
-    return alone.unionByName(best.select("__tl_row.*"))
+    """The rows of ``docs`` that stay, with all their columns. Only digests, ids and numbers of rows shuffle, and of the possibly repeated only."""
+    numbered = common.Numbered(docs, "dedup-documents")
+    rows = numbered.rows().select(text_digest(F.col(f"`{text_col}`")).alias("__tl_digest"), F.col(f"`{id_col}`").alias("__tl_id"), "__tl_row")
+    rows = common.stage(rows, "dedup-digests")
+    bits, cells = repeated_filter(rows, rows.count())
+    maybe = _probe(rows, common.stage(bits, "dedup-filter"), cells, F.col("__tl_digest")).where("__tl_maybe").drop("__tl_maybe")
+    groups = maybe.groupBy("__tl_digest").agg(F.max(F.struct("__tl_id", "__tl_row")).alias("__tl_top"), F.count("*").alias("__tl_n")).where("__tl_n >= 2")
+    groups = common.stage(groups.select("__tl_digest", F.col("__tl_top.__tl_row").alias("__tl_stay")), "dedup-groups")
+    side = common.bounded_broadcast(groups, groups.count(), 96)
+    return numbered.without(maybe.join(side, "__tl_digest").where("__tl_row <> __tl_stay").select("__tl_row"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

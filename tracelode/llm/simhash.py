@@ -18,7 +18,6 @@ rows. Other columns stay as they are; names of this module begin with ``__tl_``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -57,21 +56,10 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _add_fingerprints(names: list[str], width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sub_batches(batches, "__tl_text"):
-            prints = np.array([fingerprint(x, width) for x in common.texts(batch.column("__tl_text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(prints.view(np.int64))], names=names + ["__tl_fp"])
-
-    return run
-
-
 def with_fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, width: int = 3) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) and ``__tl_fp``, the fingerprint as a signed 64-bit integer."""
-    common.ship(docs.sparkSession)
-    names = docs.columns if keep is None else keep
-    rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").cast("string").alias("__tl_text"))
-    return rows.mapInArrow(_add_fingerprints(names, width), T.StructType([rows.schema[c] for c in names] + [T.StructField("__tl_fp", T.LongType())]))
+    signed = lambda texts: [pa.array(np.array([fingerprint(x, width) for x in texts], dtype=np.uint64).view(np.int64))]
+    return common.add_from_texts(docs, text_col, keep, [T.StructField("__tl_fp", T.LongType())], signed)
 
 
 def links(prints: DataFrame, crowd: int = 32) -> DataFrame:
@@ -138,19 +126,13 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The row of smallest doc_id of each class, with all its columns.
-
-    Rows are written once with their fingerprints; of the classes only the rows to drop come back, and they are
-    broadcast if their number allows.
-    """
-    names = docs.columns
-    rows = common.stage(with_fingerprints(docs, text_col, width=width).withColumn("__tl_row", F.monotonically_increasing_id()), "simhash-documents")
-    known = classes(rows.select(F.col(f"`{id_col}`").alias("__tl_id"), "__tl_fp", "__tl_row"), "__tl_id")
-    known = common.stage(known.select("__tl_root", "__tl_id", "__tl_row"), "simhash-known")
+    """The row of smallest doc_id of each class, with all its columns. Of the classes only the numbers of rows to drop come back to the rows."""
+    numbered = common.Numbered(docs, "simhash-documents")
+    rows = numbered.rows().select(F.col(f"`{id_col}`").alias("__tl_id"), F.col(f"`{text_col}`").alias("__tl_of"), "__tl_row")
+    known = common.stage(with_fingerprints(rows, "__tl_of", ["__tl_id", "__tl_row"], width), "simhash-fingerprints")
+    known = common.stage(classes(known, "__tl_id").select("__tl_root", "__tl_id", "__tl_row"), "simhash-known")
     stays = known.groupBy("__tl_root").agg(F.count("*").alias("__tl_n"), F.min(F.struct(F.col("__tl_id").isNull(), F.col("__tl_id"), F.col("__tl_row"))).alias("__tl_stay")).where("__tl_n >= 2").select("__tl_root", F.col("__tl_stay.__tl_row").alias("__tl_stay"))
-    drop = common.stage(known.join(stays, "__tl_root").where("__tl_row <> __tl_stay").select("__tl_row"), "simhash-drop")
-    side = common.bounded_broadcast(drop, drop.count(), 16)
-    return rows.join(side, "__tl_row", "left_anti").select(*(F.col(f"`{c}`") for c in names))
+    return numbered.without(known.join(stays, "__tl_root").where("__tl_row <> __tl_stay").select("__tl_row"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
