@@ -63,8 +63,8 @@ def _join(df: DataFrame, side: DataFrame, n: int) -> DataFrame:
     return df.join(side, F.col("source").eqNullSafe(F.col("__tl_source")), "left").drop("__tl_source")
 
 
-def plan_copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2) -> DataFrame:
-    """``rows`` (source, size, __tl_row, __tl_hash, more) with source_size, target and copies. ``rows`` must be a written table: it is read several times."""
+def plan_copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2, whole: DataFrame | None = None) -> DataFrame:
+    """``rows`` (source, size, __tl_row, __tl_hash, more) with source_size, target and copies; or ``whole``, the same rows with more columns. ``rows`` must be a written table: it is read several times."""
     targets = common.stage(source_targets(rows, weights, budget, most), "mix-targets")
     n = targets.count()
     level = F.length(F.bin("size")).cast("double")  # 1 + floor(log2(size))
@@ -78,16 +78,19 @@ def plan_copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget:
     levels = targets.join(levels.select(F.col("source").alias("__tl_source"), "__tl_rest", "__tl_classes"), F.col("source").eqNullSafe(F.col("__tl_source")), "left").drop("__tl_source")
     levels = common.stage(levels, "mix-levels")
 
-    docs = _join(rows, levels, n * 16)
     own = F.try_element_at("__tl_classes", F.length(F.bin("size")))
-    docs = docs.withColumn("__tl_own", F.when(F.col("size") > 0, own)).withColumn("__tl_sure", F.coalesce("__tl_own.__tl_sure", F.lit(0))).withColumn("__tl_p", F.coalesce("__tl_own.__tl_p", F.lit(0.0)))
     u = (F.shiftrightunsigned("__tl_hash", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     ratio = (u / (1 - u)) * (1 - F.col("__tl_p")) / F.col("__tl_p")
     drawn = F.col("__tl_p") > _EPS
     # q / (1 + q) is in order of q and lies in (0, 1).
-    docs = docs.drop("__tl_own", "__tl_classes").withColumn("__tl_q", F.when(drawn, ratio / (1 + ratio)))
     spot = F.col("__tl_q") * BINS
-    docs = docs.withColumn("__tl_b1", F.floor(spot).cast("int")).withColumn("__tl_b2", F.floor((spot - F.floor(spot)) * BINS).cast("int"))
+
+    def ranked(df: DataFrame) -> DataFrame:
+        df = _join(df, levels, n * 16).withColumn("__tl_own", F.when(F.col("size") > 0, own)).withColumn("__tl_sure", F.coalesce("__tl_own.__tl_sure", F.lit(0))).withColumn("__tl_p", F.coalesce("__tl_own.__tl_p", F.lit(0.0)))
+        df = df.drop("__tl_own", "__tl_classes").withColumn("__tl_q", F.when(drawn, ratio / (1 + ratio)))
+        return df.withColumn("__tl_b1", F.floor(spot).cast("int")).withColumn("__tl_b2", F.floor((spot - F.floor(spot)) * BINS).cast("int"))
+
+    docs = ranked(rows)
 
     first = common.stage(_cut(docs.where(F.col("__tl_q").isNotNull() & (F.col("__tl_rest") > 0)), "__tl_b1", "__tl_rest"), "mix-cut").select("source", F.col("bin").alias("__tl_c1"), F.col("left").alias("__tl_left1"))
     docs = _join(docs, first, n)
@@ -96,30 +99,32 @@ def plan_copies(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget:
     last = docs.where("__tl_b1 = __tl_c1 AND __tl_b2 = __tl_c2")
     before = F.sum("size").over(Window.partitionBy("source").orderBy("__tl_q", "__tl_row")) - F.col("size")
     last = last.withColumn("__tl_before", before).where(F.col("__tl_before") + F.col("size") / 2 <= F.col("__tl_left2")).groupBy("source").agg(F.max(F.struct("__tl_q", "__tl_row")).alias("__tl_end"))
-    docs = _join(docs, common.stage(last, "mix-cut"), n)
+    last = common.stage(last, "mix-cut")
+    docs = _join(docs, last, n) if whole is None else _join(_join(_join(ranked(whole), first, n), second, n), last, n)
     inside = (F.col("__tl_b1") < F.col("__tl_c1")) | ((F.col("__tl_b1") == F.col("__tl_c1")) & ((F.col("__tl_b2") < F.col("__tl_c2")) | ((F.col("__tl_b2") == F.col("__tl_c2")) & (F.struct("__tl_q", "__tl_row") <= F.col("__tl_end")))))
     # No cut: the fractions hold fewer words than are left, so all are taken; nothing left: none.
     extra = F.col("__tl_q").isNotNull() & (F.col("__tl_rest") > 0) & F.when(F.col("__tl_c1").isNull(), True).otherwise(F.coalesce(inside, F.lit(False)))
     return docs.withColumn("copies", F.col("__tl_sure") + extra.cast("long"))
 
 
-def _sized(docs: DataFrame, text_col: str, id_col: str, source_col: str, keep: list[str]) -> DataFrame:
+def _sized(docs: DataFrame, text_col: str, id_col: str, source_col: str, keep: list[Column], row: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(*keep, F.col(f"`{source_col}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")).alias("__tl_hash"), F.monotonically_increasing_id().alias("__tl_row"))
+    return docs.select(*keep, F.col(f"`{source_col}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`")).alias("__tl_hash"), row.alias("__tl_row"))
 
 
 def mix_report(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies, taken (words)."""
-    rows = common.stage(_sized(docs, "text", "doc_id", "source", [F.col("doc_id")]), "mix-sizes")
+    rows = common.stage(_sized(docs, "text", "doc_id", "source", [F.col("doc_id")], F.monotonically_increasing_id()), "mix-sizes")
     return plan_copies(rows, weights, budget, most).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with all their columns."""
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns. Sizes are counted twice, for the plan and with the rows, so texts are neither written nor shuffled."""
     names = docs.columns
+    rows = common.Numbered(docs, "mix-documents").rows()
     keep = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__tl_doc")
-    rows = common.stage(_sized(docs, text_col, id_col, source_col, [keep]), "mix-rows")
-    planned = plan_copies(rows, weights, budget, most).where("copies > 0")
+    sized = common.stage(_sized(rows, text_col, id_col, source_col, [], F.col("__tl_row")), "mix-sizes")
+    planned = plan_copies(sized, weights, budget, most, _sized(rows, text_col, id_col, source_col, [keep], F.col("__tl_row"))).where("copies > 0")
     return planned.select("__tl_doc.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__tl_copy")).select(*(F.col(f"`{c}`") for c in names))
 
 
