@@ -230,6 +230,27 @@ def test_index_fetch(evaluate):
         index.fetch("https://evil.com/", "a", opener=opener)
     with pytest.raises(ValueError):
         index.fetch("https://web.archive.org/", "a", opener=lambda r, timeout: Answer(b"", "https://evil.com/"))
+    asked = []
+
+    def hopping(*targets):
+        def run(request, timeout):
+            asked.append(request.full_url)
+            to = dict(zip(("https://web.archive.org/0", *targets), targets)).get(request.full_url)
+            if to:
+                raise urllib.error.HTTPError(request.full_url, 302, "there", {"Location": to}, None)
+            return Answer(b"page", request.full_url)
+
+        return index.fetch("https://web.archive.org/0", "a", opener=run)
+
+    assert hopping("https://web.archive.org/1", "https://web.archive.org/2") == b"page" and len(asked) == 3
+    for target in ("https://evil.com/", "http://web.archive.org/1", "https://web.archive.org:8443/", "https://u@web.archive.org/"):
+        asked.clear()
+        with pytest.raises(ValueError):
+            hopping(target)
+        assert asked == ["https://web.archive.org/0"]
+    assert hopping(*(f"https://web.archive.org/{k}" for k in range(1, 7))) == b"page"
+    with pytest.raises(index.FetchError):
+        hopping(*(f"https://web.archive.org/{k}" for k in range(1, 8)))
     assert evaluate(index.retry_after_ms(F.lit("3"), F.lit(0)), index.retry_after_ms(F.lit("Thu, 01 Jan 1970 00:00:09 GMT"), F.lit(4000)), index.retry_after_ms(F.lit("x"), F.lit(0))) == (3000, 5000, None)
     assert [index.wait_ms("999", 0), index.wait_ms(None, 3), index.wait_ms("x", 9)] == [10000, 4000, 4000]
     q = evaluate(index.index_query(F.lit("nasa"), F.lit("165"), F.lit("20230430100000")))[0]

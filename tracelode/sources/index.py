@@ -10,7 +10,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, urljoin, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from ..functions import ids, times, urls
 
 #: The index's address and limits.
 INDEX_URL = "https://web.archive.org/cdx/search/cdx"
-ROW_LIMIT, TIMEOUT_S, RETRIES, LONGEST_WAIT_MS = 500, 6.0, 2, 10_000
+ROW_LIMIT, TIMEOUT_S, RETRIES, LONGEST_WAIT_MS, MOST_HOPS = 500, 6.0, 2, 10_000, 6
 FIELDS = ("timestamp", "original", "statuscode", "mimetype", "digest")
 HOSTS = ("x.com", "twitter.com")
 
@@ -81,19 +81,41 @@ class FetchError(RuntimeError):
         self.code, self.retry_after_ms = code, retry_after_ms
 
 
-def fetch(url: str, agent: str, allowed: tuple[str, ...] = urls.ALLOWED_HOSTS, most_bytes: int | None = None, opener: Callable = urllib.request.urlopen, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """A page of an allowed host over https, at most ``most_bytes`` of it; tried again when the server is busy or fails. Redirects to other hosts are refused."""
+class _NoRedirect(urllib.request.HTTPRedirectHandler):
+    """Redirects come back as errors, so that ``fetch`` looks at each before it is asked."""
+
+    def redirect_request(self, *_):
+        return None
+
+
+def _refuse_others(url: str, allowed: tuple[str, ...]) -> None:
     parts = urlsplit(url)
-    if parts.scheme != "https" or parts.hostname not in allowed or parts.username:
-        raise ValueError(f"{parts.hostname} is no allowed host")
-    for attempt in range(RETRIES + 1):
+    if parts.scheme != "https" or parts.hostname not in allowed or parts.username or parts.port not in (None, 443):
+        raise ValueError(f"{parts.scheme}://{parts.hostname} is no allowed host over https")
+
+
+def fetch(url: str, agent: str, allowed: tuple[str, ...] = urls.ALLOWED_HOSTS, most_bytes: int | None = None, opener: Callable = urllib.request.build_opener(_NoRedirect).open, sleep: Callable[[float], None] = time.sleep) -> bytes:
+    """A page of an allowed host over https, at most ``most_bytes`` of it; tried again when the server is busy or fails.
+
+    Up to MOST_HOPS redirects are followed, each only after its target has passed the same test as the first address.
+    """
+    _refuse_others(url, allowed)
+    attempt = hops = 0
+    while True:
         wait = wait_ms(None, attempt)
         try:
             with opener(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=TIMEOUT_S) as answer:
-                if urlsplit(answer.geturl()).hostname not in allowed:
-                    raise ValueError("redirected to a host that isn't allowed")
+                _refuse_others(answer.geturl(), allowed)
                 return answer.read() if most_bytes is None else answer.read(most_bytes)
         except urllib.error.HTTPError as e:
+            to = e.headers.get("Location")
+            if e.code in (301, 302, 303, 307, 308) and to:
+                hops += 1
+                if hops > MOST_HOPS:
+                    raise FetchError("ARCHIVE_ERROR", "too many redirects") from e
+                url = urljoin(url, to)
+                _refuse_others(url, allowed)
+                continue
             wait = wait_ms(e.headers.get("Retry-After"), attempt)
             error = FetchError("ARCHIVE_RATE_LIMITED" if e.code in (429, 503) else "ARCHIVE_ERROR", f"status {e.code}", wait)
             if not (e.code in (408, 429) or e.code >= 500):
@@ -102,9 +124,10 @@ def fetch(url: str, agent: str, allowed: tuple[str, ...] = urls.ALLOWED_HOSTS, m
             error = FetchError("ARCHIVE_TIMEOUT", "no answer in time")
         except urllib.error.URLError as e:
             error = FetchError("ARCHIVE_TIMEOUT" if isinstance(e.reason, TimeoutError) else "ARCHIVE_ERROR", str(e.reason))
-        if attempt < RETRIES:
-            sleep(wait / 1000)
-    raise error
+        if attempt == RETRIES:
+            raise error
+        sleep(wait / 1000)
+        attempt += 1
 
 
 class _Query(InputPartition):
