@@ -91,15 +91,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large star: every larger neighbour of a node moves to the smallest node around it. Small star: so do the node and
     its smaller neighbours. Both keep components as they are and end as stars, in a number of rounds that grows with
-    the logarithm of the longest chain.
+    the logarithm of the longest chain. Edges are stars once no node has two smaller ones or is both an upper and a lower end.
     """
     now = common.stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
-    before = None
     while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before:
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(True).alias("upper")), F.struct(F.col("v").alias("x"), F.lit(False).alias("upper")))).alias("e")).select("e.x", "e.upper")
+        of = ends.groupBy("x").agg(F.count_if("upper").alias("ups"), F.count_if(~F.col("upper")).alias("downs"))
+        if not of.where("ups > 1 OR ups = 1 AND downs > 0").limit(1).count():
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
