@@ -108,3 +108,22 @@ def test_crowded_groups_do_not_depend_on_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert found == [0, 0]
+
+
+def test_passages_of_many_texts_hold_none_together(spark, monkeypatch):
+    """What takes the places of crowded shingles in prefixes is as common, and must come last too."""
+    r = random.Random(5)
+    own = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage = own(60)
+    rows = [(k, " ".join([*own(50), *passage, *own(50)])) for k in range(60)]
+    held = []
+    links = shingle_dedup.crowded_links
+
+    def watched(together, *rest):
+        held.append(together.count())
+        return links(together, *rest)
+
+    monkeypatch.setattr(shingle_dedup, "crowded_links", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(x.doc_id for x in shingle_dedup.shingle_dedup(docs, crowd=8).collect()) == plain_kept(rows) == list(range(60))
+    assert held == [0]

@@ -5,7 +5,7 @@ all their shingles, in whole numbers: c common ones of a and b link if 9c >= 4(a
 
 - Prefixes. Under any one order of all shingles, linked sets of n share one of their first n - ceil(4n/5) + 1. The order is
   by hash, but shingles in more than ``crowd`` prefixes, counted over all texts, come last, by their number, at most ``most`` of
-  them.
+  them. So are those which then take their places in prefixes: for each one that goes, a text's next AHEAD shingles are counted too.
 - A shared shingle at places i and j, if it is the first they share, leaves at most min(a - i, b - j) common ones. Pairs that
   this bound rules out are no candidates; a link passes it at the first shingle of its two prefixes.
 - The parities of classes of shingles, two to four classes for each shingle, differ in no more classes than the sets differ in shingles, at most
@@ -37,6 +37,7 @@ from . import common
 from .simhash import SEED, components
 
 WIDTH = 5
+AHEAD = 4
 WALK_BITS = 2048  # classes of the parities that a walk compares
 
 
@@ -72,10 +73,13 @@ def differences(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, x: t + x)
 
 
+def _prefix_size(n: int) -> int:
+    return n - (4 * n + 4) // 5 + 1 if n else 0
+
+
 def prefix(hashes: np.ndarray, crowded: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """The first shingles of a set, in order; ``crowded`` (sorted) come last, by ``numbers``."""
-    n = len(hashes)
-    most = n - (4 * n + 4) // 5 + 1 if n else 0
+    most = _prefix_size(len(hashes))
     if len(crowded):
         at = np.minimum(np.searchsorted(crowded, hashes), len(crowded) - 1)
         late = np.where(crowded[at] == hashes, numbers[at], 0)
@@ -97,12 +101,23 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(digests.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), _lists([parities(s) for s in sets])], names=["row", "digest", "n", "bits"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch the shingles in prefixes, in how many."""
-    none = np.zeros(0, np.int64)
-    for batch in common.sub_batches(batches):
-        keys, counts = np.unique(np.concatenate([none, *(prefix(shingles(x), none, none) for x in common.texts(batch.column("text")))]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "m"])
+def ahead(hashes: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """The shingles that may take the places of ``crowded`` (sorted) ones in the prefix of a set: the next AHEAD for each."""
+    most = _prefix_size(len(hashes))
+    at = np.searchsorted(crowded, hashes[:most])
+    go = int((crowded[np.minimum(at, len(crowded) - 1)] == hashes[:most]).sum())
+    return hashes[most : most + AHEAD * go]
+
+
+def _counted(some: Callable[[np.ndarray], np.ndarray]):
+    """Of each batch the shingles that ``some`` takes of the sets, in how many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sub_batches(batches):
+            keys, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(some(shingles(x)) for x in common.texts(batch.column("text")))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "m"])
+
+    return run
 
 
 def _places(crowded: np.ndarray, numbers: np.ndarray):
@@ -330,11 +345,22 @@ def links(texts: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame], sk
 
     ``texts``: ``row`` and ``text``, no two of the same shingles; ``texts_of``: gives those of some rows (True) or of all others; ``sketches``: ``row``, ``n`` and ``bits``.
     """
-    late = common.stage(texts.select("text").mapInArrow(_counted, "key long, m long").groupBy("key").agg(F.sum("m").alias("m")).where(f"m > {crowd}"), "shingles-crowded")
-    least = crowd
-    while late.where(f"m > {least}").count() > most:
-        least *= 2
-    table = late.where(f"m > {least}").toArrow().sort_by("key")
+    def counted(some: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        return texts.select("text").mapInArrow(_counted(some), "key long, m long").groupBy("key").agg(F.sum("m").alias("m")).where(f"m > {crowd}")
+
+    def most_crowded(counts: DataFrame) -> pa.Table:
+        least = crowd
+        while counts.where(f"m > {least}").count() > most:
+            least *= 2
+        return counts.where(f"m > {least}").toArrow().sort_by("key")
+
+    none = np.zeros(0, np.int64)
+    late = common.stage(counted(lambda s: prefix(s, none, none)), "shingles-crowded")
+    table = most_crowded(late)
+    if table.num_rows:
+        first = table.column("key").to_numpy()
+        late = late.unionByName(counted(lambda s: ahead(s, first))).groupBy("key").agg(F.sum("m").alias("m"))
+        table = most_crowded(common.stage(late, "shingles-crowded"))
     places = texts.mapInArrow(_places(table.column("key").to_numpy(), table.column("m").to_numpy()), "key long, row long, at long")
     met = places.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(crowd), "a long, b long, crowded boolean").distinct()
     met = common.stage(met, "shingles-met")
