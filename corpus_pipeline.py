@@ -28,7 +28,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: five-word shingles alike by 0.8 or more."""
+    """One document of each class of near duplicates, five-word shingles alike by 0.8 or more: links that SimHash fingerprints find, then all others."""
     return shingle_dedup(docs)
 
 

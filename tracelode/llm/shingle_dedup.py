@@ -1,8 +1,11 @@
-"""Near-duplicate classes by word shingles: two texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more.
+"""Near-duplicate classes by SimHash fingerprints and word shingles: two texts are linked if the Jaccard similarity of their five-word shingles is 0.8 or more.
 
 Texts are lower-cased (A-Z); a text of at most five words is one shingle. Shingles are compared as XXH64 (seed 42), sets by
 all their shingles, in whole numbers: c common ones of a and b link if 9c >= 4(a + b). Every link is found:
 
+- Fingerprints first. Bits set in over half of a set's hashes make its SimHash; ``simhash.links`` joins those at most two bits apart on
+  blocks of bits. Sets of one fingerprint, and the first ones of two that are linked, are compared shingle by shingle. What these links join needs
+  no other comparison. Texts just alike by 0.8 differ in more bits than blocks can part, so the rest has an exact way:
 - Prefixes. Under any one order of all shingles, linked sets of n share one of their first n - ceil(4n/5) + 1. The order is
   by hash, but shingles in more than ``crowd`` prefixes, counted over all texts, come last, by their number, at most ``most`` of
   them. So are those which then take their places in prefixes: for each one that goes, a text's next AHEAD shingles are counted too.
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 from .simhash import SEED, components
 
 WIDTH = 5
@@ -94,11 +97,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text a digest of its set, its size and its parities."""
+    """Of each text a digest of its set, its fingerprint, its size and its parities."""
     for batch in common.sub_batches(batches):
         sets = [shingles(x) for x in common.texts(batch.column("text"))]
         digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(digests.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), _lists([parities(s) for s in sets])], names=["row", "digest", "n", "bits"])
+        prints = np.array([simhash.majority(s) for s in sets], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(digests.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), _lists([parities(s) for s in sets])], names=["row", "digest", "print", "n", "bits"])
 
 
 def ahead(hashes: np.ndarray, crowded: np.ndarray) -> np.ndarray:
@@ -312,26 +316,46 @@ def _between(pairs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("x <> y").select("a", "b", "differ", F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")), roots
 
 
-def alike(pairs: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
-    """Links (a, b) among ``pairs`` (a, b, differ), a written table, that connect all its links. ``texts_of``: as ``links`` takes it."""
-    none = pairs.select("a", "b").limit(0)
-    if pairs.isEmpty():
-        return none
+def _ends_of(some: DataFrame) -> DataFrame:
+    return common.stage(some.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "shingles-ends")
+
+
+def _sets_of_ends(pairs: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    return common.stage(texts_of(_ends_of(pairs), True).mapInArrow(_hashes, "row long, hashes array<long>"), "shingles-sets")
+
 
-    def ends_of(some: DataFrame) -> DataFrame:
-        return common.stage(some.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "shingles-ends")
+def _linked(some: DataFrame, sets: DataFrame, name: str = "shingles-linked") -> DataFrame:
+    """Those of the pairs ``some`` whose sets are alike."""
+    both = some.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    return common.stage(both.where("9 * size(array_intersect(set_a, set_b)) >= 4 * (size(set_a) + size(set_b))").select("a", "b"), name)
 
-    sets = common.stage(texts_of(ends_of(pairs), True).mapInArrow(_hashes, "row long, hashes array<long>"), "shingles-sets")
+
+def print_links(sketches: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame], crowd: int = 32) -> DataFrame:
+    """(a, b), a written table: linked rows, one of each set, among those that their fingerprints (``print``) bring together."""
+    own = common.stage(sketches.groupBy("digest").agg(F.min("row").alias("row"), F.first("print").alias("__tl_fp")).select("row", "__tl_fp"), "shingles-own")
+    prints = common.stage(own.groupBy("__tl_fp").agg(F.min("row").alias("first")), "shingles-prints")
+    same = own.join(prints, "__tl_fp").where("first <> row").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    of = lambda c: prints.select(F.col("__tl_fp").alias(c), F.col("first").alias(f"row_{c}"))
+    near = simhash.links(prints.select("__tl_fp"), crowd).join(of("a"), "a").join(of("b"), "b").select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+    met = common.stage(same.unionByName(near), "shingles-near-prints")
+    return _linked(met, _sets_of_ends(met, texts_of), "shingles-print-links")
+
+
+def alike(pairs: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame], known: DataFrame) -> DataFrame:
+    """The links ``known`` and links (a, b) among ``pairs`` (a, b, differ), a written table, that together connect all links of both. ``texts_of``: as ``links`` takes it."""
+    if not pairs.isEmpty():
+        pairs = common.stage(_between(pairs, known)[0].select("a", "b", "differ"), "shingles-unknown")
+    if pairs.isEmpty():
+        return known
+    sets = _sets_of_ends(pairs, texts_of)
 
     def linked(some: DataFrame) -> DataFrame:
-        ends = ends_of(some)
-        need = sets.join(common.bounded_broadcast(ends, ends.count(), 16), "row", "left_semi")
-        both = some.select("a", "b").join(need.toDF("a", "set_a"), "a").join(need.toDF("b", "set_b"), "b")
-        return common.stage(both.where("9 * size(array_intersect(set_a, set_b)) >= 4 * (size(set_a) + size(set_b))").select("a", "b"), "shingles-linked")
+        ends = _ends_of(some)
+        return _linked(some, sets.join(common.bounded_broadcast(ends, ends.count(), 16), "row", "left_semi"))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("row"), F.struct("differ", "a", "b").alias("p"))
     first = common.stage(ends.groupBy("row").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct(), "shingles-first")
-    edges = linked(first)
+    edges = known.unionByName(linked(first))
     left, _ = _between(pairs.join(first, ["a", "b"], "left_anti"), edges)
     left = common.stage(left, "shingles-left")
     second = common.stage(left.groupBy("u", "v").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b"), "shingles-second")
@@ -340,8 +364,8 @@ def alike(pairs: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame]) ->
     return edges.unionByName(linked(left))
 
 
-def links(texts: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame], sketches: DataFrame, crowd: int = 32, most: int = 1 << 20, block: int = 1024) -> DataFrame:
-    """(a, b): linked rows whose chains connect all that are alike.
+def links(texts: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame], sketches: DataFrame, known: DataFrame, crowd: int = 32, most: int = 1 << 20, block: int = 1024) -> DataFrame:
+    """(a, b): linked rows whose chains connect all that are alike, those of ``known`` (a written table) among them.
 
     ``texts``: ``row`` and ``text``, no two of the same shingles; ``texts_of``: gives those of some rows (True) or of all others; ``sketches``: ``row``, ``n`` and ``bits``.
     """
@@ -367,7 +391,7 @@ def links(texts: DataFrame, texts_of: Callable[[DataFrame, bool], DataFrame], sk
 
     of = lambda c: sketches.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     pairs = met.where("NOT crowded").select("a", "b").join(of("a"), "a").join(of("b"), "b").withColumn("differ", differences(F.col("bits_a"), F.col("bits_b"))).where("9 * differ <= n_a + n_b")
-    edges = alike(common.stage(pairs.select("a", "b", (F.col("differ") / (F.col("n_a") + F.col("n_b"))).alias("differ")), "shingles-pairs"), texts_of)
+    edges = alike(common.stage(pairs.select("a", "b", (F.col("differ") / (F.col("n_a") + F.col("n_b"))).alias("differ")), "shingles-pairs"), texts_of, known)
 
     together = components(met.where("crowded AND a <> b").select("a", "b"))
     together = together.unionByName(together.select(F.col("root").alias("node"), "root")).distinct().toDF("row", "root")
@@ -383,11 +407,12 @@ def shingle_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of = lambda some: some.select(F.col("__tl_row").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts_of = lambda some, inside: of(numbered.picked(some.select(F.col("row").alias("__tl_row")), inside))
     texts = of(rows)
-    sketches = common.stage(texts.mapInArrow(_sketches, "row long, digest long, n long, bits array<long>"), "shingles-sketches")
+    sketches = common.stage(texts.mapInArrow(_sketches, "row long, digest long, print long, n long, bits array<long>"), "shingles-sketches")
 
     first = sketches.groupBy("digest").agg(F.count("*").alias("many"), F.min("row").alias("a")).where("many >= 2").select("digest", "a")
     equal = common.stage(sketches.select("digest", F.col("row").alias("b")).join(first, "digest").where("a <> b").select("a", "b"), "shingles-equal")
-    edges = links(texts_of(equal.select(F.col("b").alias("row")), False), texts_of, sketches, crowd, block=block).unionByName(equal)
+    known = print_links(sketches, texts_of)
+    edges = links(texts_of(equal.select(F.col("b").alias("row")), False), texts_of, sketches, known, crowd, block=block).unionByName(equal)
     roots = common.stage(components(edges), "shingles-roots")
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     known = rows.select(F.col("__tl_row").alias("node"), F.col(f"`{id_col}`").alias("__tl_id")).join(nodes, "node")

@@ -49,6 +49,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         ends = (ends - 1)[width - 1 :].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(starts))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes of 64 bits, as an unsigned 64-bit integer; none: zero."""
     ones = np.zeros(64, dtype=np.int64)
     for a in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[a : a + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
